@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .work import mapped
 
 UNIT = 576
 STRIPE = 64
@@ -37,7 +38,7 @@ def encode_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([b.column("k")[at : at + 256], pa.array(map(len, part), pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
+    return mapped(df.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")), run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
 _DECODED = {
@@ -87,7 +88,7 @@ def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media", tenso
                 yield pa.RecordBatch.from_arrays([b.column("k")[at : at + 64], *(pa.array([r.get(n) for r in rows], t) for n, t in _DECODED.items())], names=[key, *_DECODED])
 
     schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", *(f"{n} {_SQL_NAMES[t]}" for n, t in _DECODED.items())])
-    return df.select(F.col(key).alias("k"), F.col(media).alias("m")).mapInArrow(run, schema)
+    return mapped(df.select(F.col(key).alias("k"), F.col(media).alias("m")), run, schema)
 
 
 def payload_digests(docs: DataFrame) -> DataFrame:

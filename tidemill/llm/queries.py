@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
-from .work import table
+from . import lengths, lines, linkrank, media, tokens
+from .work import table, written
 
 
 def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_media_jpeg": op1_media_jpeg}
-ORACLES: dict[str, str] = {}
+def op2_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_index(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_url_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkrank.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the histogram is small beside the texts: written once, so that its sums don't encode them again
+    return lengths.suffix_sums(written(lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents")))))
+
+
+QUERIES = {
+    "op1_media_jpeg": op1_media_jpeg,
+    "op2_token_rans": op2_token_rans,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_url_links": op5_url_links,
+    "op9_token_histogram": op9_token_histogram,
+}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op5_url_links": linkrank.oracle()}

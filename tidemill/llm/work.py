@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,13 +50,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``f`` makes columns from each Arrow batch; state of its own must be cheap to make anew."""
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemill_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="tidemill-")).resolve() / "tidemill.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(to))
+    sc._tidemill_sent = True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict(f(b))
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
