@@ -106,6 +106,19 @@ class Index:
         return out
 
 
+def item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """(item_id, text) in blocks of BLOCK_SHINGLES words at most, or of one item."""
+    block, size = [], 0
+    for item_id, text in items.select("item_id", F.col("text").cast("binary")).toLocalIterator():
+        n = len(words_of(text))
+        if block and size + n > BLOCK_SHINGLES:
+            yield block
+            block, size = [], 0
+        block.append((item_id, bytes(text or b"")))
+        size += n
+    yield block
+
+
 def contained_items(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
     """Rows (doc_id, item_id, n_shingles, n_shared, containment): the items of which a document holds ``share`` or more.
 
@@ -128,20 +141,31 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = WORDS, share
 
         return mapped(texts, run, "doc_id long, item_id long, n_shingles long, n_shared long")
 
-    out, block, size = None, [], 0
-    for item_id, text in items.select("item_id", F.col("text").cast("binary")).toLocalIterator():
-        n = len(words_of(text))
-        if block and size + n > BLOCK_SHINGLES:
-            out = one(block) if out is None else out.unionByName(one(block))
-            block, size = [], 0
-        block.append((item_id, bytes(text or b"")))
-        size += n
-    last = one(block)
-    out = last if out is None else out.unionByName(last)
+    out = None
+    for block in item_blocks(items):
+        out = one(block) if out is None else out.unionByName(one(block))
     return out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6))
 
 
-_PUNCT = "".join(chr(i) for i in range(1, 128) if not chr(i).isalnum())
+def keep_clean(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
+    """The rows of documents that contain no item, all columns as they are."""
+    spark, at = docs.sparkSession, docs.columns.index("text")
+
+    def without(rows: DataFrame, block: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, words, share)
+            for b in batches:
+                yield b.filter(pa.array([not index.search((t.as_py() or "").encode("utf-8", "replace")) for t in b.column(at)], pa.bool_()))
+
+        return mapped(rows, run, rows.schema)
+
+    for block in item_blocks(items):
+        docs = without(docs, block)
+    return docs
+
+
 ORACLE = f"""
 WITH w AS (
     SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS n, text FROM documents UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark),

@@ -172,3 +172,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
 def taken_words(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of documents, each as often as the mix takes it. Rows of one doc_id and text are one, with the sum of their copies."""
+    no_id = F.coalesce("doc_id", F.lit(-(2**63)))
+    copies = mix(docs).groupBy(no_id.alias("_doc"), F.col("row").alias("_row")).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    x = docs.withColumns({"_doc": no_id, "_row": F.xxhash64(F.lit(5), "text")}).join(copies, ["_doc", "_row"]).dropDuplicates(["_doc", "_row"])
+    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)

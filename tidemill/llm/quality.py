@@ -137,3 +137,16 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return mapped(docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("t")), run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents whose text scores ``threshold`` or more, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array([m.score((t.as_py() or "").encode("utf-8", "replace")) >= threshold for t in b.column(at)], pa.bool_()))
+
+    return mapped(docs, run, docs.schema)

@@ -201,3 +201,70 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, hot_g
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+STAGE_WORDS, STAGE_TABLES, WIDE_WORDS, WIDE_RADIUS = 5, 2, 4, 44
+
+
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same values (splitmix64)."""
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _fingerprints_of(text: bytes, words: int, seeds: range) -> bytes:
+    """Several 64-bit SimHashes of one text's shingles, by independent hashes."""
+    ones, n = np.zeros((len(seeds), 64), np.int64), 0
+    for h in shingle_hashes(text, words):
+        for i, k in enumerate(seeds):
+            ones[i] += _bit_counts(_remixed(h, k))
+        n += len(h)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, row, narrow, wide): STAGE_TABLES 64-bit SimHashes of a whole text's words, and one of 256 bits of its shingles of STAGE_WORDS words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.as_py() or b"" for x in b.column("t")]
+            narrow = [_fingerprints_of(t, 1, range(STAGE_TABLES)) for t in texts]
+            wide = [_fingerprints_of(t, STAGE_WORDS, range(10, 10 + WIDE_WORDS)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(narrow, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "row", "narrow", "wide"])
+
+    return mapped(docs.select("doc_id", F.xxhash64(F.lit(5), "text").alias("row"), F.col("text").cast("binary").alias("t")), run, "doc_id long, row long, narrow binary, wide binary")
+
+
+def _as_long(c: Column) -> Column:
+    """Eight bytes, least first, as a signed integer."""
+    digits = F.hex(c)
+    swapped = F.concat(*(F.substring(digits, at, 2) for at in range(15, 0, -2)))
+    half = lambda at: F.conv(F.substring(swapped, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, wide_radius: int = WIDE_RADIUS, hot_group: int = HOT_GROUP) -> DataFrame:
+    """The rows of documents, without all but the smallest doc_id of each group of near-duplicates.
+
+    Texts are linked if the SimHashes of their shingles of five words differ in at most ``wide_radius`` of 256 bits, the
+    expected distance at a Jaccard similarity of about 0.77, so that pairs of 0.8 and more are found; candidates are
+    pairs that a covering table of one of STAGE_TABLES SimHashes of single words (which an edited word changes least)
+    brings together within ``radius`` bits. Texts without words are one group. Of rows with one doc_id and text one
+    stays. A null doc_id counts as the largest.
+    """
+    found = written(sketches(docs))
+    links = None
+    for i in range(STAGE_TABLES):
+        own = F.substring("narrow", 8 * i + 1, 8)
+        nodes = written(found.select(own.alias("own"), "wide").distinct().select(_as_long(F.col("own")).alias("fp"), F.concat("own", "wide").alias("node")))
+        part = covering_links(nodes, radius, wide_radius, hot_group)
+        links = part if links is None else links.unionByName(part)
+    only_wide = lambda c: F.substring(c, 9, 8 * WIDE_WORDS).alias(c)
+    roots = components(links.select(only_wide("a"), only_wide("b")))
+    last = F.col("doc_id").isNull().alias("last")
+    named = found.groupBy("wide").agg(F.min(F.struct(last, "doc_id", "row")).alias("least")).join(roots.withColumnRenamed("node", "wide"), "wide", "left")
+    keep = named.groupBy(F.coalesce("root", "wide")).agg(F.min("least").alias("k")).select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("_doc"), F.col("k.row").alias("_row"))
+    x = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63))), "_row": F.xxhash64(F.lit(5), "text")})
+    return x.join(keep, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select(*docs.columns)
