@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import ascii_lower, width, written
+from .work import ascii_lower, salted_join, width, written
 
 BLANKS = " \t\n\x0b\f\r"
 NO_ID = -(2**63)
@@ -53,7 +53,7 @@ def keep_bitmaps(docs: DataFrame, min_length: int = 20, min_docs: int = 3) -> Da
     the document's lines run by run, each run of dropped lines as two big-endian 32-bit integers.
     """
     hashes = written(line_hashes(docs, min_length))
-    gone = hashes.join(shared_lines(hashes, min_docs), ["h1", "h2"]).filter("doc <> keeper").select("doc", "row", "pos")
+    gone = salted_join(hashes, shared_lines(hashes, min_docs), ["h1", "h2"], F.col("doc")).filter("doc <> keeper").select("doc", "row", "pos")
     at = gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     starts = F.expr("filter(p, (x, i) -> i = 0 OR x - p[i - 1] > 1)")
     ends = F.expr("filter(p, (x, i) -> i = size(p) - 1 OR p[i + 1] - x > 1)")
