@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import ascii_lower, checkpointed, written
+from .work import ascii_lower, checkpointed, salted_join, written
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 DAMPING, ROUNDS, DIGITS, BLOCKED_SHARE = 0.85, 20, 9, 0.5
@@ -101,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, blocked_s
     seeds = checkpointed(seeds)
     ranks = propagate(seeds.select("host", F.col("a").cast("double").alias("trust"), F.col("b").cast("double").alias("distrust")), host_links(pages))
     bad = seeds.join(ranks, "host").filter(F.col("distrust") - F.col("trust") >= blocked_share * F.col("pages")).select("host", F.lit("block").alias("by_host"))
-    return x.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("action", "by_host", F.lit("allow")).alias("verdict"))
+    return salted_join(x, bad, ["host"], F.col("page_id"), "left").select("page_id", "host", "path", "rule", F.coalesce("action", "by_host", F.lit("allow")).alias("verdict"))
 
 
 def oracle(rules: list[tuple[str, str]] = RULES) -> str:
