@@ -55,30 +55,28 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataF
     """Rows (host, trust, distrust): PageRank of each host personalised by the seeds' own trust and distrust.
 
     seeds: (host, trust, distrust), in pages; links: (src, dst, n). Trust follows links, distrust goes back along
-    them, each host's mass in proportion to its links; a host without such links keeps its mass. Values are rounded
-    each round, and rounds end early once they stop changing. Hosts' rows are cut off by a checkpoint each round.
+    them, DAMPING of each host's mass in proportion to its links. Ranks count a walk's visits (the usual ones times
+    1 / (1 - DAMPING)), so a seed has its own mass at least, and a host without links just that. Values are rounded
+    each round, and rounds end early once they stop changing. Each round is cut off by a checkpoint.
     """
     links = checkpointed(links)
     seeds = checkpointed(seeds)
-    ranks = seeds
     if links.isEmpty():
-        return ranks
+        return seeds
     out, back = links.groupBy("src").agg(F.sum("n").alias("all")), links.groupBy("dst").agg(F.sum("n").alias("all"))
     zero = F.lit(0.0)
     edges = links.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("all")).alias("t"), zero.alias("d")).unionByName(
         links.join(back, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), zero.alias("t"), (F.col("n") / F.col("all")).alias("d"))
     )
     edges = written(edges)
-    gives, takes = out.select(F.col("src").alias("host"), F.lit(True).alias("gives")), back.select(F.col("dst").alias("host"), F.lit(True).alias("takes"))
     linked = links.select(F.col("src").alias("host")).union(links.select("dst")).distinct()
-    base = seeds.withColumnsRenamed({"trust": "st", "distrust": "sd"}).join(linked, "host", "full").join(gives, "host", "left").join(takes, "host", "left")
-    base = checkpointed(base.select("host", F.coalesce("st", zero).alias("st"), F.coalesce("sd", zero).alias("sd"), F.coalesce("gives", F.lit(False)).alias("gives"), F.coalesce("takes", F.lit(False)).alias("takes")))
+    base = checkpointed(seeds.join(linked, "host", "full").select("host", F.coalesce("trust", zero).alias("st"), F.coalesce("distrust", zero).alias("sd")))
     ranks = base.select("host", F.col("st").alias("trust"), F.col("sd").alias("distrust"))
     for _ in range(rounds):
         got = edges.join(ranks.withColumnRenamed("host", "a"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("t") * F.col("trust")).alias("gt"), F.sum(F.col("d") * F.col("distrust")).alias("gd"))
         x = base.join(ranks, "host").join(got, "host", "left")
-        new = lambda seed, got, has, own: F.round((1 - DAMPING) * F.col(seed) + DAMPING * (F.coalesce(got, zero) + F.when(F.col(has), 0.0).otherwise(F.col(own))), DIGITS)
-        both = checkpointed(x.select("host", new("st", "gt", "gives", "trust").alias("trust"), new("sd", "gd", "takes", "distrust").alias("distrust"), F.col("trust").alias("t0"), F.col("distrust").alias("d0")))
+        new = lambda seed, got: F.round(F.col(seed) + DAMPING * F.coalesce(got, zero), DIGITS)
+        both = checkpointed(x.select("host", new("st", "gt").alias("trust"), new("sd", "gd").alias("distrust"), F.col("trust").alias("t0"), F.col("distrust").alias("d0")))
         ranks = both.select("host", "trust", "distrust")
         if both.filter("trust <> t0 OR distrust <> d0").isEmpty():
             break
@@ -123,12 +121,12 @@ def oracle(rules: list[tuple[str, str]] = RULES) -> str:
         "i AS MATERIALIZED (SELECT dst, sum(n) AS t FROM l GROUP BY dst)",
         "e AS MATERIALIZED (SELECT l.src AS a, l.dst AS b, l.n / o.t AS t, 0.0::DOUBLE AS d FROM l JOIN o ON o.src = l.src UNION ALL SELECT l.dst, l.src, 0.0::DOUBLE, l.n / i.t FROM l JOIN i ON i.dst = l.dst)",
         "h AS (SELECT host FROM s UNION SELECT src FROM l UNION SELECT dst FROM l)",
-        "b AS MATERIALIZED (SELECT h.host, coalesce(st, 0.0) AS st, coalesce(sd, 0.0) AS sd, h.host IN (SELECT src FROM l) AS gives, h.host IN (SELECT dst FROM l) AS takes FROM h LEFT JOIN s ON s.host = h.host)",
+        "b AS MATERIALIZED (SELECT h.host, coalesce(st, 0.0) AS st, coalesce(sd, 0.0) AS sd FROM h LEFT JOIN s ON s.host = h.host)",
         "r0 AS MATERIALIZED (SELECT host, st::DOUBLE AS trust, sd::DOUBLE AS distrust FROM b)",
     ]
     for k in range(ROUNDS):
         parts.append(f"g{k} AS (SELECT b AS host, sum(t * trust) AS gt, sum(d * distrust) AS gd FROM e JOIN r{k} ON r{k}.host = e.a GROUP BY b)")
-        new = lambda seed, got, has, own: f"round({1 - DAMPING!r}::DOUBLE * {seed} + {DAMPING!r}::DOUBLE * (coalesce({got}, 0.0) + CASE WHEN {has} THEN 0.0 ELSE {own} END), {DIGITS})"  # noqa: E731, B023
-        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT b.host, {new('st', 'gt', 'gives', 'trust')} AS trust, {new('sd', 'gd', 'takes', 'distrust')} AS distrust FROM b JOIN r{k} ON r{k}.host = b.host LEFT JOIN g{k} ON g{k}.host = b.host)")
+        new = lambda seed, got: f"round({seed} + {DAMPING!r}::DOUBLE * coalesce({got}, 0.0), {DIGITS})"
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT b.host, {new('st', 'gt')} AS trust, {new('sd', 'gd')} AS distrust FROM b LEFT JOIN g{k} ON g{k}.host = b.host)")
     parts.append(f"bad AS (SELECT s.host FROM s JOIN r{ROUNDS} r ON r.host = s.host WHERE r.distrust - r.trust >= {BLOCKED_SHARE} * s.pages)")
     return "WITH " + ",\n".join(parts) + "\nSELECT x.page_id, x.host, x.path, x.rule, coalesce(x.action, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM x LEFT JOIN bad ON bad.host = x.host"
