@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .work import mapped, width, written
 
-WEIGHTS, MOST_COPIES, GROUP_ROWS, FANOUT, SEED = (5, 2, 1), 3, 50_000, 64, 11
+WEIGHTS, MOST_COPIES, GROUP_ROWS, FANOUT, SEED = (5, 2, 1), 3, 1_000, 64, 11
 ROW = "doc_id long, row long, size long, source_size long, target double, sid int, bucket long, h long, whole int, x double"
 
 
