@@ -57,7 +57,8 @@ def time_bounds(samples: Samples) -> DataFrame:
 
 def deltas(samples: Samples) -> DataFrame:
     """Each sample's change of value and time since the one before it in its series; null for the first."""
-    w = Window.partitionBy(*samples.series_key()).orderBy("t")
+    keys = [F.array_sort(F.map_entries(c)) if c == samples.tags_column else F.col(c) for c in samples.series_key()]
+    w = Window.partitionBy(*keys).orderBy("t")
     return samples.df.withColumns({"dt": F.col("t") - F.lag("t").over(w), "dv": F.col("v") - F.lag("v").over(w)})
 
 

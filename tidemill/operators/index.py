@@ -12,6 +12,11 @@ from ..model import METRIC_LABEL, Samples
 from .matchers import Matcher
 
 
+def distinct_series(samples: Samples) -> DataFrame:
+    """Each series once; grouping also takes tags in a map, which distinct() doesn't."""
+    return samples.df.groupBy(*samples.series_key()).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+
+
 def series_table(samples: Samples) -> DataFrame:
     """Rows (series_id, source_id, metric_id, series columns): ids from 1 in the order of metrics, label sets and both.
 
@@ -20,7 +25,7 @@ def series_table(samples: Samples) -> DataFrame:
     """
     keys = samples.series_key()
     tags = keys[1:]
-    s = samples.df.select(*keys).distinct()
+    s = distinct_series(samples)
     order = [_orderable(samples, c) for c in tags]
     ranked = s.withColumn("source_id", F.dense_rank().over(Window.orderBy(*order)).cast("long") if order else F.lit(1).cast("long"))
     ranked = ranked.withColumn("metric_id", F.dense_rank().over(Window.orderBy("metric")).cast("int"))
@@ -50,7 +55,7 @@ def _pairs(samples: Samples, df: DataFrame, extra: Iterable[str] = ()) -> DataFr
 
 def label_names(samples: Samples) -> DataFrame:
     """Distinct names, ascending."""
-    return _pairs(samples, samples.df.select(*samples.series_key()).distinct()).select("name").distinct().orderBy("name")
+    return _pairs(samples, distinct_series(samples)).select("name").distinct().orderBy("name")
 
 
 def label_values(samples: Samples, name: str) -> DataFrame:
@@ -60,7 +65,7 @@ def label_values(samples: Samples, name: str) -> DataFrame:
 
 def symbols(samples: Samples) -> DataFrame:
     """All distinct strings in names and values."""
-    p = _pairs(samples, samples.df.select(*samples.series_key()).distinct())
+    p = _pairs(samples, distinct_series(samples))
     return p.select(F.explode(F.array("name", "value")).alias("symbol")).distinct()
 
 
