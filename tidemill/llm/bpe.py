@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
-WORDS_KEPT = 300_000
+WORDS_KEPT, SEEN_BITS, WORDS_TOGETHER = 900_000, 23, 200
+SLICE_BYTES = 8 << 20
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -18,12 +22,29 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about SLICE_BYTES."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+        yield at, end
+        at = end
+
+
+def _odd(word: str) -> bool:
+    return not word or word[0].isspace() or word[-1].isspace()
+
+
 class Encoder:
     """Ids as little-endian unsigned 16-bit integers (the vocabulary must be smaller than 65,536).
 
     A space between two other non-space characters always begins a new piece, so a text's ids are those of its words,
-    each behind its space. Words are encoded by the tokenizers library, many in one call, and kept up to a bound.
-    Texts with other white space next to a space are encoded piece by piece instead.
+    each behind its space. Arrow splits texts and numbers their distinct words; these are encoded by the tokenizers
+    library, many in one string, which is cut again where the bytes of its ids add up to a word. Words that come again
+    in a later call are kept, up to a bound, so that the many words that occur once don't crowd them out. Where white
+    space meets a space, the text is encoded by pieces.
     """
 
     def __init__(self, path: str):
@@ -39,11 +60,25 @@ class Encoder:
         self.bytes_of = np.zeros(self.size, np.int64)
         for piece, i in vocab.items():
             self.bytes_of[i] = len(piece)
+        self._forget()
+
+    def _forget(self) -> None:
         self.words: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {"": b""}
+        self.seen = bytearray(1 << SEEN_BITS)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
+    def _first(self, word: str) -> bytes:
+        """Ids of a text's first part, which no space precedes."""
+        found = self.firsts.get(word)
+        if found is None:
+            found = self._ids(word)
+            if len(word) < 32 and len(self.firsts) < WORDS_KEPT // 10:
+                self.firsts[word] = found
+        return found
+
     def _pieces(self, text: str) -> bytes:
         out, held, size = [], [], 0
         for piece in CUT.split(text):
@@ -54,33 +89,81 @@ class Encoder:
                 held, size = [], 0
         return b"".join([*out, self._ids("".join(held))])
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in parts)).difference(self.words)
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        new -= odd
-        if len(self.words) + len(new) > WORDS_KEPT:
-            self.words = {}
-            new = set().union(*(p[1:] for p in parts)) - odd
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, np.uint16)
-            ends = np.cumsum(self.bytes_of[ids])
-            cuts = 2 * (np.searchsorted(ends, np.cumsum([1 + len(w.encode()) for w in some])) + 1)
-            raw, a = ids.tobytes(), 0
-            for w, z in zip(some, cuts.tolist()):
-                self.words[w] = raw[a:z]
-                a = z
-        out, get = [], self.words.__getitem__
-        for t, p in zip(texts, parts):
-            # a text's first part may be odd without harm: it is encoded as it stands, up to the first space
-            if (odd and not odd.isdisjoint(p[1:])) or (p[0] and p[0][-1].isspace()):
-                out.append(self._pieces(t))
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of words, each behind a space, that neither are empty nor begin or end with white space."""
+        if not new:
+            return []
+        strings = [" " + " ".join(new[at : at + WORDS_TOGETHER]) for at in range(0, len(new), WORDS_TOGETHER)]
+        flat: list[int] = []
+        for e in self.tok.encode_batch_fast(strings, add_special_tokens=False):
+            flat += e.ids
+        ids = np.array(flat, np.uint16)
+        sizes = np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in new), np.int64, len(new)) + 1
+        cuts = (2 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:z] for a, z in zip([0, *cuts], cuts)]
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text (UTF-8, as binary; null: empty), with ``end`` behind them."""
+        texts = pc.fill_null(texts, b"")
+        try:
+            texts = texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
+        parts = [self._some(texts[a:z], end) for a, z in slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _some(self, texts: pa.Array, end: bytes) -> pa.Array:
+        if len(self.words) > WORDS_KEPT:
+            self._forget()
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy()
+        ends = ends - ends[0]
+        starts = ends[:-1]
+        numbered = split.flatten().dictionary_encode()
+        index = numbered.indices.to_numpy().astype(np.int64)
+        names = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        firsts = [names[i] for i in index[starts].tolist()]
+        pool = list(map(self.words.get, names))
+        missing = [i for i, x in enumerate(pool) if x is None]
+        odd = [i for i in missing if _odd(names[i])]
+        slow: set[int] = {j for j, w in enumerate(firsts) if w[-1:].isspace() and ends[j + 1] - ends[j] > 1}
+        if odd:
+            at = np.zeros(len(names), bool)
+            at[odd] = True
+            hit = at[index]
+            hit[starts] = False
+            slow |= set((np.searchsorted(ends, np.flatnonzero(hit), "right") - 1).tolist())
+            for i in odd:
+                pool[i] = b""
+            missing = [i for i in missing if pool[i] is None]
+        new = [names[i] for i in missing]
+        seen, mask = self.seen, (1 << SEEN_BITS) - 1
+        for i, w, ids in zip(missing, new, self._learn(new)):
+            pool[i] = ids
+            h = hash(w) & mask
+            if seen[h]:
+                self.words[w] = ids
             else:
-                out.append((self._ids(p[0]) if p[0] else b"") + b"".join(map(get, p[1:])))
+                seen[h] = 1
+        # the first parts' own ids, and the end, behind the words'
+        index[starts] = len(pool) + np.arange(len(starts))
+        pool += map(self._first, firsts)
+        index = np.insert(index, ends[1:], len(pool))
+        pool.append(end)
+        ids = pa.array(pool, pa.binary()).take(pa.array(index))
+        bounds = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[ends + np.arange(len(ends))]
+        out = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(bounds)), ids.buffers()[2]])
+        if slow:
+            rows = out.to_pylist()
+            for j in slow:
+                rows[j] = self._pieces(texts[j].as_py()) + end
+            out = pa.array(rows, pa.binary())
         return out
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return self.encode(pa.array([t.encode() for t in texts], pa.binary())).to_pylist()
+
 
 _made: dict[str, Encoder] = {}
 

@@ -46,7 +46,7 @@ class Coder:
     def __init__(self, freqs: np.ndarray):
         self.f = freqs.astype(np.uint64)
         self.c = np.concatenate([[0], np.cumsum(freqs.astype(np.int64))[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freqs), dtype=np.uint32), freqs)
+        self.symbol = np.repeat(np.arange(len(freqs), dtype=np.uint16 if len(freqs) <= 65536 else np.uint32), freqs)
 
     def encode(self, ids: np.ndarray) -> bytes:
         crc = zlib.crc32(ids.astype("<u4").tobytes())
@@ -105,7 +105,7 @@ class Coder:
         for a in range(want.start, want.stop, TOGETHER):
             z = min(a + TOGETHER, want.stop)
             out.append(self._back(states[a:z], words, starts[a:z].copy(), min(count, z * SEGMENT) - a * SEGMENT))
-        ids = np.concatenate(out) if out else np.zeros(0, np.uint32)
+        ids = np.concatenate(out) if out else np.zeros(0, self.symbol.dtype)
         if segments is None and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise Corrupt("the checksum differs")
         return ids
@@ -113,7 +113,7 @@ class Coder:
     def _back(self, states: list[np.ndarray], words: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
         n = len(states)
         x = np.concatenate(states).astype(np.uint64)
-        out = np.zeros((STEPS, n * LANES), np.uint32)
+        out = np.zeros((STEPS, n * LANES), self.symbol.dtype)
         tail = count - (n - 1) * SEGMENT
         mask = np.uint64((1 << SCALE) - 1)
         for s in range(STEPS):
@@ -134,4 +134,6 @@ class Coder:
                 y[low] = y[low] << WORD | words[pos].astype(np.uint64)
                 at += np.bincount(seg, minlength=n)
             x[:m] = y
+        if (x != LOW).any():  # where the encoder began
+            raise Corrupt("the states don't end where they should")
         return out.reshape(STEPS, n, LANES).transpose(1, 0, 2).reshape(-1)[:count]

@@ -27,26 +27,44 @@ def tokenized(df: DataFrame, path: str | None = None, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
-            keys, texts = b.column("k"), b.column("t")
-            for at in range(0, len(keys), 1000):
-                found = encode([(x.as_py() or b"").decode("utf-8", "replace") for x in texts[at : at + 1000]])
-                yield pa.RecordBatch.from_arrays([keys[at : at + 1000], pa.array([x + end for x in found], pa.binary())], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), encode.encode(b.column("t"), end)], names=[key, "ids"])
 
     return mapped(df.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")), run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary")
 
 
-def id_counts(ids: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs in all rows; what reaches the driver is bounded by the vocabulary."""
+def counted(df: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
+    """Rows (doc_id, ids, counts) as ``tokenized``, and one row more for each task, with how often it saw each id, as 64-bit integers."""
+    size = encoder(path).size
+    end = b"" if end_id is None else int(end_id).to_bytes(2, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, n = encoder(path), np.zeros(size, np.int64)
+        names = ["doc_id", "ids", "counts"]
+        for b in batches:
+            ids = encode.encode(b.column("t"), end)
+            first, last = (ids.buffers()[1][4 * (ids.offset + i) : 4 * (ids.offset + i) + 4].to_pybytes() for i in (0, len(ids)))
+            first, last = int.from_bytes(first, "little"), int.from_bytes(last, "little")
+            if last > first:
+                n += np.bincount(np.frombuffer(ids.buffers()[2], np.uint16, (last - first) // 2, first), minlength=size)
+            yield pa.RecordBatch.from_arrays([b.column("k").cast(pa.int64()), ids, pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([n.tobytes()], pa.binary())], names=names)
+
+    return mapped(df.select(F.col("doc_id").alias("k"), F.col("text").cast("binary").alias("t")), run, "doc_id long, ids binary, counts binary")
+
+
+def id_counts(counts: DataFrame, size: int) -> np.ndarray:
+    """The sum of all rows' counts; what reaches the driver is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
         for b in batches:
-            n += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint16), minlength=size)
+            for x in b.column("counts").to_pylist():
+                n += np.frombuffer(x, np.int64)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for id_, n in mapped(ids.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n")).collect():
+    for id_, n in mapped(counts.select("counts"), run, "id int, n long").groupBy("id").agg(F.sum("n")).collect():
         out[id_] = n
     return out
 
@@ -116,9 +134,9 @@ def read_blocks(blocks: DataFrame, freqs: np.ndarray) -> DataFrame:
 def store_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, np.ndarray]:
     """(files, shared frequencies) of all documents."""
     path = path or vocabulary_path()
-    ids = written(tokenized(docs, path))
-    freqs = shared_table(id_counts(ids, encoder(path).size))
-    return write_blocks(ids, freqs), freqs
+    found = written(counted(docs, path))
+    freqs = shared_table(id_counts(found.filter("counts IS NOT NULL"), encoder(path).size))
+    return write_blocks(found.filter("counts IS NULL").select("doc_id", "ids"), freqs), freqs
 
 
 def token_index(docs: DataFrame, path: str | None = None) -> DataFrame:
