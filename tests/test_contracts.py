@@ -104,6 +104,12 @@ def test_sets_that_read_alike_stay_apart(spark):
     assert len(points(sel.select(s, [M]))) == 4
 
 
+def test_hashed_ids_tell_series_apart(spark):
+    s = samples(spark, [({METRIC_LABEL: m, "a": str(i)}, 0, 1) for m in "mn" for i in range(20)])
+    t = index.series_table(s, dense=False)
+    assert t.select("series_id").distinct().count() == 40 and t.select("source_id").distinct().count() == 20
+
+
 def test_order_of_label_sets(spark):
     s = samples(spark, [({METRIC_LABEL: "m", "a": "2"}, 0, 1), ({METRIC_LABEL: "m", "a": "1", "b": "1"}, 0, 2), ({METRIC_LABEL: "m", "a": "1"}, 0, 3)])
     x = index.sorted_by_labels(s, index.series_table(s)).orderBy("rank")
@@ -284,3 +290,35 @@ def test_streams(spark, tmp_path):
     assert sorted((r["bucket_ms"], r["max_v"]) for r in w.collect()) == [(T.DAY_MS, 5.0), (T.DAY_MS + 3_600_000, 11.0)]
     g = streams.drained(streams.sessions(st, ["metric", "h"], "20 minutes"), "s_test", "complete")
     assert [(r["n"], r["start_ms"]) for r in g.collect()] == [(13, T.DAY_MS)]
+
+
+def test_snapshots(spark, tmp_path, two):
+    s = index.series_table(two)
+    index.save_series(s, str(tmp_path / "series"))
+    assert index.load_series(spark, str(tmp_path / "series")).count() == s.count() == 2
+    tombstones.write_tombstones(intervals(spark, [(0, 5), (6, 9), (20, 30)]), str(tmp_path / "stones"))
+    assert sorted((r["min_t"], r["max_t"]) for r in tombstones.read_tombstones(spark, str(tmp_path / "stones")).collect()) == [(0, 9), (20, 30)]
+    chunks = spark.createDataFrame([(1, 0, 9), (1, 8, 12), (2, 0, 9)], "series_id long, min_t long, max_t long")
+    stones = intervals(spark, [(0, 5), (6, 9)])
+    assert tombstones.covered_chunks(chunks, stones).count() == 1 and tombstones.live_chunks(chunks, stones).count() == 2
+
+
+def test_blocks_are_read_together(spark, tmp_path):
+    lab = {METRIC_LABEL: "m", "h": "a"}
+    for i, rows in enumerate(([(lab, 0, 1, 1), (lab, 5, 1, 2)], [(lab, 5, 2, 3)])):
+        store.write_samples(samples(spark, rows), str(tmp_path / str(i)))
+    both = store.read_blocks(spark, [str(tmp_path / "0"), str(tmp_path / "1")], {}, tags_column="tags")
+    assert points(sel.select(both, [M])) == [(0, 1.0), (5, 2.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from tidemill.__main__ import main
+
+    write, read = tmp_path / "w.json", tmp_path / "r.json"
+    write.write_text(json.dumps({"timeseries": [{"labels": [{"name": METRIC_LABEL, "value": "m"}], "samples": [{"timestamp": 1, "value": 2.5}]}]}))
+    read.write_text(json.dumps({"queries": [{"start_timestamp_ms": 0, "end_timestamp_ms": 9, "matchers": [{"name": METRIC_LABEL, "op": "=", "value": "m"}]}]}))
+    main(["write", "--store", str(tmp_path / "s"), "--request", str(write)])
+    main(["read", "--store", str(tmp_path / "s"), "--request", str(read)])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["results"][0]["timeseries"][0]["samples"] == [{"timestamp": 1, "value": 2.5}]

@@ -66,3 +66,10 @@ def rates(samples: Samples) -> DataFrame:
     """Change per second since the sample before; null for the first and where no time passed."""
     x = deltas(samples)
     return x.withColumn("rate", F.when(F.col("dt") > 0, F.col("dv") * 1000 / F.col("dt")))
+
+
+def top_series(samples: Samples, n: int) -> DataFrame:
+    """The n series with the greatest values, ties by series."""
+    best = samples.df.groupBy(*samples.series_key()).agg(F.max("v").alias("max_v"))
+    keys = [F.array_sort(F.map_entries(c)) if c == samples.tags_column else F.col(c) for c in samples.series_key()]
+    return best.orderBy(F.desc("max_v"), *keys).limit(n)

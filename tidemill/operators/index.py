@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import METRIC_LABEL, Samples
@@ -17,18 +17,21 @@ def distinct_series(samples: Samples) -> DataFrame:
     return samples.df.groupBy(*samples.series_key()).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
-def series_table(samples: Samples) -> DataFrame:
+def series_table(samples: Samples, dense: bool = True) -> DataFrame:
     """Rows (series_id, source_id, metric_id, series columns): ids from 1 in the order of metrics, label sets and both.
 
     Ids are ranks over distinct metrics and sources, a small table beside the samples; sources and metrics are ranked
-    apart, so a source keeps its id across its metrics.
+    apart, so a source keeps its id across its metrics. Ranks take a sort in one task: with ``dense=False`` ids of
+    series and sources are hashes of what identifies them instead, for tables with very many series.
     """
-    keys = samples.series_key()
-    tags = keys[1:]
+    tags = samples.series_key()[1:]
     s = distinct_series(samples)
     order = [_orderable(samples, c) for c in tags]
-    ranked = s.withColumn("source_id", F.dense_rank().over(Window.orderBy(*order)).cast("long") if order else F.lit(1).cast("long"))
-    ranked = ranked.withColumn("metric_id", F.dense_rank().over(Window.orderBy("metric")).cast("int"))
+    ranked = s.withColumn("metric_id", F.dense_rank().over(Window.orderBy("metric")).cast("int")) if dense else s.withColumn("metric_id", F.pmod(F.xxhash64("metric"), F.lit(2**31)).cast("int"))
+    if not dense:
+        source = F.xxhash64(F.to_json(F.struct(*order))) if order else F.lit(1).cast("long")
+        return ranked.withColumn("source_id", source).withColumn("series_id", F.xxhash64("source_id", "metric"))
+    ranked = ranked.withColumn("source_id", F.dense_rank().over(Window.orderBy(*order)).cast("long") if order else F.lit(1).cast("long"))
     return ranked.withColumn("series_id", F.row_number().over(Window.orderBy("source_id", "metric_id")).cast("long"))
 
 
@@ -124,3 +127,21 @@ def sorted_by_labels(samples: Samples, series: DataFrame) -> DataFrame:
     """Series with their rank in the order of label sets: name and value pairwise, then length."""
     labels = F.array_sort(F.map_entries(samples.labels_map(with_metric=True)))
     return series.withColumn("rank", F.row_number().over(Window.orderBy(labels)).cast("long"))
+
+
+def values_between(samples: Samples, name: str, lo: str, hi: str) -> DataFrame:
+    """Distinct values of a label from lo to hi, both included, in the order of strings."""
+    return label_values(samples, name).filter(F.col("value").between(lo, hi)).orderBy("value")
+
+
+def values_with_prefix(samples: Samples, name: str, prefix: str) -> DataFrame:
+    return label_values(samples, name).filter(F.col("value").startswith(prefix)).orderBy("value")
+
+
+def save_series(series: DataFrame, path: str) -> None:
+    """A snapshot of the series table, from which the index is rebuilt."""
+    series.write.mode("overwrite").parquet(path)
+
+
+def load_series(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -103,6 +103,11 @@ def nested(samples: Samples) -> DataFrame:
     return samples.df.groupBy(*samples.series_key()).agg(points.alias("samples")).withColumn("labels", samples.labels_map(with_metric=True))
 
 
+def unnested(series: DataFrame) -> DataFrame:
+    """The rows of nested series again: (labels, t, v)."""
+    return series.select("labels", F.explode("samples").alias("p")).select("labels", "p.t", "p.v")
+
+
 def combine(left: Samples, right: Samples, on: list[str]) -> DataFrame:
     """Rows of two selections with the same values of some labels and the same t: series arithmetic."""
     a = left.df.select(*(left.label(n).alias(n) for n in on), "t", F.col("v").alias("left_v"))

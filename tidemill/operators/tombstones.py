@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import clamp, div, overlaps
+from ..model import TOMBSTONES_SCHEMA
 
 #: Intervals are looked up by time cells of this length where they are joined with samples.
 CELL_MS = 86_400_000
+LONG = 400
 
 
 def coalesce_intervals(stones: DataFrame, by: str = "series_id") -> DataFrame:
@@ -31,19 +33,39 @@ def apply_tombstones(samples: DataFrame, stones: DataFrame, by: str = "series_id
     """Samples outside all intervals of their series.
 
     An interval is listed under the cells of time it touches, so the join has equal keys (series and cell), whatever
-    the number of intervals; it is broadcast only where its size allows.
+    the number of intervals. Those of more than LONG cells, of which a series can't have many as they don't overlap,
+    are joined by series alone. Neither reads the samples more than once.
     """
-    s = coalesce_intervals(stones, by)
-    cells = F.sequence(div(F.col("min_t"), CELL_MS), div(F.col("max_t"), CELL_MS))
-    # the cells of an interval that is longer than any sample range would be endless: those are cut to the samples' bounds
-    bounds = samples.groupBy().agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    s = s.join(F.broadcast(bounds)).withColumns({"min_t": F.greatest("min_t", "_lo"), "max_t": F.least("max_t", "_hi")}).filter("min_t <= max_t")
-    s = s.select(F.col(by).alias("_by"), F.col("min_t").alias("_min"), F.col("max_t").alias("_max"), F.explode(cells).alias("_cell"))
-    cell = div(F.col("t"), CELL_MS)
-    return samples.join(s, (F.col(by) == F.col("_by")) & (cell == F.col("_cell")) & F.col("t").between(F.col("_min"), F.col("_max")), "left_anti")
+    first, last = div(F.col("min_t"), CELL_MS), div(F.col("max_t"), CELL_MS)
+    s = coalesce_intervals(stones, by).select(F.col(by).alias("_by"), F.col("min_t").alias("_min"), F.col("max_t").alias("_max"), first.alias("_a"), last.alias("_z"))
+    short = s.filter(F.col("_z") - F.col("_a") <= LONG).withColumn("_cell", F.explode(F.sequence("_a", "_z")))
+    own, inside = F.col(by) == F.col("_by"), F.col("t").between(F.col("_min"), F.col("_max"))
+    left = samples.join(short, own & (div(F.col("t"), CELL_MS) == F.col("_cell")) & inside, "left_anti")
+    return left.join(s.filter(F.col("_z") - F.col("_a") > LONG), own & inside, "left_anti")
 
 
 def clean_tombstones(samples: DataFrame, stones: DataFrame, path: str) -> DataFrame:
     """Rewrites samples without the deleted ones; returns the new table."""
     apply_tombstones(samples, stones).write.mode("overwrite").parquet(path)
     return samples.sparkSession.read.schema(samples.schema).parquet(path)
+
+
+def write_tombstones(stones: DataFrame, path: str) -> None:
+    """Replaces the stored intervals by these, coalesced."""
+    coalesce_intervals(stones).write.mode("overwrite").parquet(path)
+
+
+def read_tombstones(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TOMBSTONES_SCHEMA).parquet(path)
+
+
+def covered_chunks(chunks: DataFrame, stones: DataFrame, by: str = "series_id") -> DataFrame:
+    """Chunks (rows with min_t, max_t) that lie whole within one deleted interval of their series."""
+    s = coalesce_intervals(stones, by).select(F.col(by).alias("_by"), F.col("min_t").alias("_lo"), F.col("max_t").alias("_hi"))
+    return chunks.join(s, (F.col(by) == F.col("_by")) & (F.col("_lo") <= F.col("min_t")) & (F.col("max_t") <= F.col("_hi")), "left_semi")
+
+
+def live_chunks(chunks: DataFrame, stones: DataFrame, by: str = "series_id") -> DataFrame:
+    """Chunks that are left to read once those that are deleted whole are dropped."""
+    s = coalesce_intervals(stones, by).select(F.col(by).alias("_by"), F.col("min_t").alias("_lo"), F.col("max_t").alias("_hi"))
+    return chunks.join(s, (F.col(by) == F.col("_by")) & (F.col("_lo") <= F.col("min_t")) & (F.col("max_t") <= F.col("_hi")), "left_anti")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import block_ranges, floor_range
+from ..functions.times import block_ranges, floor_range, overlaps
 from ..model import Samples
 from ..operators.select import merge_sources
 from ..operators.tombstones import apply_tombstones
@@ -118,6 +118,17 @@ def block_stats(samples: Samples, width: int) -> DataFrame:
     return per_series.groupBy("block_id").agg(F.min("lo").alias("min_t"), F.max("hi").alias("max_t"), F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_series"))
 
 
+def chunk_metas(samples: Samples, width: int) -> DataFrame:
+    """Each series' chunks, one for each time slice: bounds and number of samples, in order of their start."""
+    start = floor_range(F.col("t"), width)
+    return samples.df.groupBy(*samples.series_key(), start.alias("chunk")).agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.count(F.lit(1)).alias("num_samples"))
+
+
+def chunks_in_range(chunks: DataFrame, mint: int, maxt: int) -> DataFrame:
+    """Chunks that share a point with a closed range."""
+    return chunks.filter(overlaps(F.col("min_t"), F.col("max_t"), F.lit(max(mint, 0)), F.lit(maxt)))
+
+
 def retain(samples: Samples, mint: int) -> Samples:
     """Retention: samples from mint on."""
     return samples.with_df(samples.df.filter(F.col("t") >= mint))

@@ -493,6 +493,55 @@ def hot_and_cold_view(spark, sf_dir):
     return _rows(streams.hot_and_cold(cold, hot, (MINT + MAXT) // 2))
 
 
+@query(f"SELECT metric, host, max(v) AS max_v FROM {EV} GROUP BY 1, 2 ORDER BY max_v DESC, metric, CAST(host AS BIGINT) LIMIT 10")
+def top_series(spark, sf_dir):
+    return aggregate.top_series(adaptors.events(spark, sf_dir), 10).withColumn("host", F.col("host").cast("string"))
+
+
+@query(f"SELECT metric, host, (t // {5 * DAY}) * {5 * DAY} AS chunk, min(t) AS min_t, max(t) AS max_t, count(*) AS num_samples FROM {EV} GROUP BY 1, 2, 3 HAVING min(t) <= {MAXT} AND max(t) >= {MINT}")
+def chunks_in_range(spark, sf_dir):
+    x = B.chunks_in_range(B.chunk_metas(adaptors.events(spark, sf_dir), 5 * DAY), MINT, MAXT)
+    return x.withColumn("host", F.col("host").cast("string"))
+
+
+@query(f"SELECT metric, host, min_t, max_t FROM (SELECT metric, host, t // {DAY} AS d, min(t) AS min_t, max(t) AS max_t FROM {EV} GROUP BY 1, 2, 3) c WHERE NOT EXISTS (SELECT 1 FROM {_MERGED} s WHERE s.series_id = CAST(c.host AS BIGINT) AND s.min_t <= c.min_t AND c.max_t <= s.max_t)")
+def chunks_not_deleted(spark, sf_dir):
+    x = adaptors.events(spark, sf_dir)
+    chunks = B.chunk_metas(x, DAY).withColumn("series_id", F.col("host"))
+    return tombstones.live_chunks(chunks, _stones(x.df)).select("metric", F.col("host").cast("string").alias("host"), "min_t", "max_t")
+
+
+@query(f"SELECT DISTINCT host AS value FROM {EV} WHERE host BETWEEN '10' AND '2'")
+def label_values_between(spark, sf_dir):
+    return index.values_between(adaptors.events(spark, sf_dir), "host", "10", "2")
+
+
+@query(f"SELECT DISTINCT host AS value FROM {EV} WHERE starts_with(host, '1')")
+def label_values_prefix(spark, sf_dir):
+    return index.values_with_prefix(adaptors.events(spark, sf_dir), "host", "1")
+
+
+@query(f"SELECT '{{__name__=' || metric || ',host=' || host || '}}' AS labels, t, v FROM {EV} WHERE host = '3'")
+def nested_series_round_trip(spark, sf_dir):
+    x = sel.unnested(sel.nested(sel.select(adaptors.events(spark, sf_dir), [Eq("host", "3")])))
+    return x.select(L.labels_string(F.col("labels")).alias("labels"), "t", "v")
+
+
+@query(f"SELECT metric, host, (t // {HOUR}) * {HOUR} - o * {HOUR} AS bucket_ms, max(v) AS max_v, count(*) AS n FROM {EV}, (SELECT unnest([0, 1]) AS o) GROUP BY 1, 2, 3")
+def stream_sliding_max(spark, sf_dir):
+    s = streams.window_max(streams.event_stream(spark, sf_dir), ["metric", "host"], "2 hours", slide="1 hour")
+    return streams.drained(s, f"sliding_{uuid.uuid4().hex[:8]}", "complete").withColumn("host", F.col("host").cast("string"))
+
+
+_GAP = 6 * HOUR
+
+
+@query(f"SELECT metric, host, min(t) AS start_ms, max(t) + {_GAP} AS end_ms, count(*) AS n, max(v) AS max_v FROM (SELECT *, sum(f) OVER (PARTITION BY metric, host ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY metric, host ORDER BY us) <= {_GAP * 1000} THEN 0 ELSE 1 END AS f FROM (SELECT event_type AS metric, CAST(user_id AS VARCHAR) AS host, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS t, value AS v FROM events))) GROUP BY metric, host, s")
+def stream_sessions(spark, sf_dir):
+    s = streams.sessions(streams.event_stream(spark, sf_dir), ["metric", "host"], "6 hours")
+    return streams.drained(s, f"sessions_{uuid.uuid4().hex[:8]}", "complete").withColumn("host", F.col("host").cast("string"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maxima for each day of one metric of eight hosts."""
     found = sel.select(adaptors.events(spark, sf_dir), [_click, In("host", tuple(HOSTS))], 0, END, dedupe=False)

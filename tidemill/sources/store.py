@@ -32,6 +32,14 @@ def read_samples(spark: SparkSession, path: str, promoted: dict[str, str], numer
     return Samples(spark.read.parquet(path), promoted, numeric, tags_column, partition_column="p")
 
 
+def read_blocks(spark: SparkSession, paths: list[str], promoted: dict[str, str], numeric: frozenset[str] = frozenset(), tags_column: str | None = None) -> Samples:
+    """Several stores as one; where they overlap, merging keeps what has the greater seq."""
+    df = spark.read.parquet(paths[0])
+    for p in paths[1:]:
+        df = df.unionByName(spark.read.parquet(p))
+    return Samples(df, promoted, numeric, tags_column, partition_column="p")
+
+
 def in_days(samples: Samples, mint: int, maxt: int) -> Samples:
     """Only the day directories that a range touches."""
     return samples.with_df(samples.df.filter(F.col("day").between(max(mint, 0) // DAY_MS, maxt // DAY_MS)))
