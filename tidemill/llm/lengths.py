@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .tokens import tokenized
 
-RANGE = 1024
+RANGE = 128
 
 
 def encoded_lengths(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int | None = None) -> DataFrame:
