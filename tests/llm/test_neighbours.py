@@ -89,6 +89,12 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["root"] for r in stars.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in [7, *range(200, 300)]}, 300: 300, 301: 300}
     assert stars.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    df = spark.createDataFrame(edges, "a long, b long")
+    for held in (3, 1000):
+        stars.NODES_HELD, before = held, stars.NODES_HELD
+        fewer = stars.forest(df.coalesce(1))
+        assert {r["node"]: r["root"] for r in stars.components(fewer).collect()} == got and fewer.count() <= len(edges)
+        stars.NODES_HELD = before
 
 
 def shingles(text, n=5):

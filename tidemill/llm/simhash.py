@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stars import components
+from .stars import components, forest
 from .work import checkpointed, mapped, width, written
 
 RADIUS = 4
@@ -152,6 +152,30 @@ def _links_in_groups(rows: DataFrame, keys: list[str], radius: int, wide_radius:
     return mapped(dealt, run, "a binary, b binary")
 
 
+def _in_company(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (keys, id) whose keys other rows share, told from sorted rows as they pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, and whether it has gone out
+        for b in batches:
+            if not len(b):
+                continue
+            k = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in keys], axis=1)
+            same = np.all(k[1:] == k[:-1], axis=1)
+            keep = np.zeros(len(k), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if held is not None and all(held[0].column(c)[0].as_py() == b.column(c)[0].as_py() for c in keys):
+                keep[0] = True
+                if not held[1]:
+                    yield held[0]
+            yield b.filter(pa.array(keep))
+            held = (b.slice(len(b) - 1, 1), bool(keep[-1]))
+
+    dealt = rows.select(*keys, "id").repartition(width(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return mapped(dealt, run, dealt.schema)
+
+
 def _exploded(rows: DataFrame, tables: list[tuple[int, int]], number: str, key: str, within: str = "") -> DataFrame:
     made = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in tables))
     return rows.select("*", F.explode(made).alias("x")).select(*rows.columns, F.col("x.t").alias(number), F.col("x.k").alias(key))
@@ -160,24 +184,37 @@ def _exploded(rows: DataFrame, tables: list[tuple[int, int]], number: str, key:
 def covering_links(nodes: DataFrame, radius: int = RADIUS, wide_radius: int = 0, hot_group: int = HOT_GROUP) -> DataFrame:
     """Links (a, b) that span the components of ``nodes`` (columns fp, node; one row for each node).
 
+    A node is its fp's bytes, least first, and wider fingerprints behind them, if any. Wide nodes don't travel with all
+    their keys: first rows are found whose table and key others share, which few are, and these get their nodes.
+
     No group is compared pair by pair where it holds more than hot_group rows: those rows go to tables over the bits
     outside the first mask, where a pair within the radius still collides. A count of the rows by hashed table and key,
     with as many bins as keep bins of ordinary groups below hot_group, tells where such groups can be.
     """
     masks = covering_masks(list(range(64)), radius)
-    nodes = nodes.select("fp", "node")
-    rows = _exploded(nodes, list(enumerate(masks)), "t", "k")
+    wide = wide_radius > 0
+    nodes = nodes.select("fp", "node", F.xxhash64("node").alias("id")) if wide else nodes.select("fp", "node")
+    own = "id" if wide else "node"
+
+    def links(rows: DataFrame, keys: list[str]) -> DataFrame:
+        if not wide:
+            return _links_in_groups(rows, keys, radius, wide_radius)
+        # keys of one hash and nodes of one id only make candidates more
+        some = _in_company(rows.select(F.xxhash64(*keys).alias("h"), "id"), ["h"]).join(nodes.select("id", "node"), "id")
+        return _links_in_groups(some, ["h"], radius, wide_radius)
+
+    rows = _exploded(nodes.select("fp", own), list(enumerate(masks)), "t", "k")
     bins = max(4096, len(masks) * nodes.count() // max(1, hot_group // 8))
     binned = rows.withColumn("bin", F.pmod(F.xxhash64("t", "k"), F.lit(bins)))
     full = checkpointed(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_group).select("bin"))
     if full.isEmpty():
-        return _links_in_groups(rows, ["t", "k"], radius, wide_radius)
+        return links(rows, ["t", "k"])
     hot = checkpointed(binned.join(full, "bin", "left_semi").groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_group).select("t", "k"))
-    out = _links_in_groups(rows.join(hot, ["t", "k"], "left_anti"), ["t", "k"], radius, wide_radius)
+    out = links(rows.join(hot, ["t", "k"], "left_anti"), ["t", "k"])
     again = rows.join(hot, ["t", "k"], "left_semi")
     inner = F.array(*(F.array(*(F.lit(_signed(mask | m)) for m in covering_masks([i for i in range(64) if not mask >> i & 1], radius))) for mask in masks))
-    deeper = again.select("fp", "node", "t", F.posexplode(F.element_at(inner, F.col("t") + 1)).alias("u", "m")).select("node", "t", "u", F.col("fp").bitwiseAND(F.col("m")).alias("k2"))
-    return out.unionByName(_links_in_groups(deeper, ["t", "u", "k2"], radius, wide_radius))
+    deeper = again.select("fp", own, "t", F.posexplode(F.element_at(inner, F.col("t") + 1)).alias("u", "m")).select(own, "t", "u", F.col("fp").bitwiseAND(F.col("m")).alias("k2"))
+    return out.unionByName(links(deeper, ["t", "u", "k2"]))
 
 
 def _node() -> Column:
@@ -203,7 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, hot_g
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-STAGE_WORDS, STAGE_TABLES, WIDE_WORDS, WIDE_RADIUS = 5, 2, 4, 44
+STAGE_WORDS, STAGE_TABLES, WIDE_WORDS, WIDE_RADIUS = 5, 3, 4, 48
 
 
 def _remixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -249,7 +286,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, wide_radius: int
     """The rows of documents, without all but the smallest doc_id of each group of near-duplicates.
 
     Texts are linked if the SimHashes of their shingles of five words differ in at most ``wide_radius`` of 256 bits, the
-    expected distance at a Jaccard similarity of about 0.77, so that pairs of 0.8 and more are found; candidates are
+    expected distance at a Jaccard similarity of about 0.73, so that pairs of 0.8 and more are found; candidates are
     pairs that a covering table of one of STAGE_TABLES SimHashes of single words (which an edited word changes least)
     brings together within ``radius`` bits. Texts without words are one group. Of rows with one doc_id and text one
     stays. A null doc_id counts as the largest.
@@ -262,7 +299,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, wide_radius: int
         part = covering_links(nodes, radius, wide_radius, hot_group)
         links = part if links is None else links.unionByName(part)
     only_wide = lambda c: F.substring(c, 9, 8 * WIDE_WORDS).alias(c)
-    roots = components(links.select(only_wide("a"), only_wide("b")))
+    roots = components(forest(written(links.select(only_wide("a"), only_wide("b")))))
     last = F.col("doc_id").isNull().alias("last")
     named = found.groupBy("wide").agg(F.min(F.struct(last, "doc_id", "row")).alias("least")).join(roots.withColumnRenamed("node", "wide"), "wide", "left")
     keep = named.groupBy(F.coalesce("root", "wide")).agg(F.min("least").alias("k")).select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("_doc"), F.col("k.row").alias("_row"))

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import checkpointed
+from .work import checkpointed, mapped, salted_join
 
 
 def _large(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least of its neighbours and itself."""
     both = e.union(e.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return salted_join(both, least, ["u"], F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them; e has u > v."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = salted_join(e, least, ["u"], F.col("v")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -27,10 +30,51 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(r)
 
 
+NODES_HELD = 300_000
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) with the same components: each task merges those it reads and passes on a star for each of its components.
+
+    A task holds NODES_HELD nodes at most; then it passes on what it has and starts anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def top(x):
+            root = x
+            while up[root] != root:
+                root = up[root]
+            while up[x] != root:
+                up[x], x = root, up[x]
+            return root
+
+        def out() -> pa.RecordBatch:
+            pairs = [(top(x), x) for x in up]
+            pairs = [p for p in pairs if p[0] != p[1]]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i in (0, 1)], names=["a", "b"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.column("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = top(up.setdefault(a, a)), top(up.setdefault(b, b))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+            if len(up) > NODES_HELD:
+                yield out()
+                up = {}
+        if up:
+            yield out()
+
+    return mapped(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL"), run, edges.select("a", "b").schema)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Rows (node, root) of all nodes of ``edges`` (columns a, b of one type); root is the least node of the component.
 
-    A node with many neighbours is joined with one row for itself, so its rows can be split; minima are taken before
+    The rows of a node with many neighbours are joined in several tasks; minima are taken before
     the shuffle. Each round is cut off by a checkpoint. Edges of a node with itself, and null ends, are left out.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

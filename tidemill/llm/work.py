@@ -76,7 +76,10 @@ def ascii_lower(c: Column) -> Column:
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
-    """A join in which the rows of one key of ``big`` go to ``salts`` tasks, by a hash of ``salt``, and those of ``small`` to each of them."""
+    """A join in which the rows of one key of ``big`` go to ``salts`` tasks, by a hash of ``salt``, and those of ``small`` to each of them.
+
+    Both are shuffled: ``small`` may grow with the data, and its copies are more than its size seems to be.
+    """
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
     each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return dealt.join(each, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(each.hint("merge"), [*on, "_salt"], how).drop("_salt")
