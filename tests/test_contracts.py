@@ -67,6 +67,9 @@ def test_regex_is_a_full_match(spark):
     s = samples(spark, [({METRIC_LABEL: "m", "h": h}, i, i) for i, h in enumerate(("a", "abc", "xab"))])
     hit = lambda p: [t for t, _ in points(sel.select(s, [M, Re("h", p)]))]
     assert hit("a") == [0] and hit("ab.*") == [1] and hit("a|xab") == [0, 2] and hit("[") == []
+    assert hit("(?P<x>a)") == [] and hit("(?<x>a)") == [0]
+    line = samples(spark, [({METRIC_LABEL: "m", "h": "a\n"}, 0, 0)])
+    assert points(sel.select(line, [M, Re("h", "a")])) == []
 
 
 def test_modular_labels(spark):

@@ -11,6 +11,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ..model import METRIC_LABEL, Samples
 class Matcher:
     name: str
 
-    def matches_empty(self) -> bool:
+    def matches_empty(self, samples: Samples) -> bool:
         raise NotImplementedError
 
     def holds(self, value: Column, samples: Samples) -> Column:
@@ -30,7 +32,7 @@ class Matcher:
     def predicate(self, samples: Samples) -> Column:
         value = samples.label(self.name)
         inside = self.holds(value, samples)
-        return value.isNull() | inside if self.matches_empty() else inside
+        return value.isNull() | inside if self.matches_empty(samples) else inside
 
 
 def _integers(samples: Samples, name: str, values: Iterable[str]) -> list[int] | None:
@@ -50,7 +52,7 @@ class Eq(Matcher):
     name: str
     value: str
 
-    def matches_empty(self) -> bool:
+    def matches_empty(self, samples: Samples) -> bool:
         return self.value == ""
 
     def holds(self, value: Column, samples: Samples) -> Column:
@@ -65,7 +67,7 @@ class In(Matcher):
     name: str
     values: tuple[str, ...]
 
-    def matches_empty(self) -> bool:
+    def matches_empty(self, samples: Samples) -> bool:
         return "" in self.values
 
     def holds(self, value: Column, samples: Samples) -> Column:
@@ -80,18 +82,22 @@ class Re(Matcher):
     name: str
     pattern: str
 
-    def _compiled(self) -> re.Pattern | None:
+    def _compiled(self, samples: Samples):
+        """The pattern as the JVM reads it, which is what runs; None if it is invalid."""
         try:
-            return re.compile(self.pattern)
-        except re.error:
+            return samples.df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(self._whole())
+        except (Py4JJavaError, PySparkException):
             return None
 
-    def matches_empty(self) -> bool:
-        c = self._compiled()
-        return c is not None and c.fullmatch("") is not None
+    def _whole(self) -> str:
+        return f"^(?:{self.pattern})\\z"
+
+    def matches_empty(self, samples: Samples) -> bool:
+        c = self._compiled(samples)
+        return c is not None and c.matcher("").find()
 
     def holds(self, value: Column, samples: Samples) -> Column:
-        return F.lit(False) if self._compiled() is None else value.rlike(f"^(?:{self.pattern})$")
+        return F.lit(False) if self._compiled(samples) is None else value.rlike(self._whole())
 
 
 @dataclass(frozen=True)
@@ -104,8 +110,8 @@ class Not(Matcher):
     def name(self) -> str:
         return self.matcher.name
 
-    def matches_empty(self) -> bool:
-        return not self.matcher.matches_empty()
+    def matches_empty(self, samples: Samples) -> bool:
+        return not self.matcher.matches_empty(samples)
 
     def holds(self, value: Column, samples: Samples) -> Column:
         return ~self.matcher.holds(value, samples)
