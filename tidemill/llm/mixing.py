@@ -88,47 +88,57 @@ class Pivot:
             self.held = None
 
 
+def settle_group(xs: list[float], sizes: list[int], hashes: list[int], level: int, last: bool) -> list[float]:
+    """The x of a group's rows after they met in their order; one at most stays fractional, none if this level is the last.
+
+    On the last level the residual goes to the nearer number. The words that this gives or takes too many are made up
+    for by rows that fit into the difference, the largest first, whose x was open and now goes to its other side.
+    """
+    rows: list[tuple[int, float]] = []
+    pivot = Pivot(rows)
+    for i, (x, size, h) in enumerate(zip(xs, sizes, hashes)):
+        pivot.meet(i, x, size, _mixed(h, 1000 * level + i + 1 + SEED))
+    residual = pivot.held
+    pivot.end(last)
+    out = [0.0] * len(xs)
+    for i, x in rows:
+        out[i] = x
+    if last and residual is not None:
+        at, x, size = residual
+        over = (out[at] - x) * size
+        side = 1.0 if over > 0 else 0.0
+        for i in sorted((i for i, v in enumerate(xs) if i != at and 0 < v < 1 and out[i] == side and sizes[i]), key=lambda i: (-sizes[i], i)):
+            if sizes[i] <= abs(over):
+                out[i] = 1.0 - side
+                over -= sizes[i] if over > 0 else -sizes[i]
+    return out
+
+
 def _settle(rows: DataFrame, last: bool, level: int, n: int) -> DataFrame:
-    """One level of the tree: each (sid, bucket) settles all its rows but one at most."""
+    """One level of the tree: each (sid, bucket), about a group's rows, settles all its rows but one at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, pivot, at, held = None, None, 0, []
-
-        def out(settled: list[tuple[int, float]], first: int) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            table = pa.Table.from_batches(held)
-            if not settled:
-                return
-            index = np.array([i for i, _ in settled], np.int64) - first
-            got = table.take(pa.array(index)).set_column(table.schema.get_field_index("x"), "x", pa.array([x for _, x in settled], pa.float64()))
-            yield from got.combine_chunks().to_batches()
-            left = np.setdiff1d(np.arange(len(table)), index)
-            held = table.take(pa.array(left)).combine_chunks().to_batches() if len(left) else []
-
-        # Row numbers count within what is held: after each batch at most the one fractional row stays.
-        settled: list[tuple[int, float]] = []
+        held: list[pa.RecordBatch] = []  # the group that may go on in the next batch
+        key = None
+
+        def out() -> pa.RecordBatch:
+            g = pa.Table.from_batches(held).combine_chunks()
+            x = settle_group(g["x"].to_pylist(), g["size"].to_pylist(), g["h"].to_pylist(), level, last)
+            return g.set_column(g.schema.get_field_index("x"), "x", pa.array(x, pa.float64())).to_batches()[0]
+
         for b in batches:
             if not len(b):
                 continue
-            base = sum(map(len, held))
-            held.append(b)
-            if pivot is None:
-                pivot = Pivot(settled)
-            elif pivot.held is not None:
-                pivot.held = (0, *pivot.held[1:])
-            keys = zip(b.column("sid").to_pylist(), b.column("bucket").to_pylist())
-            for i, (key, x, size, h) in enumerate(zip(keys, b.column("x").to_pylist(), b.column("size").to_pylist(), b.column("h").to_pylist())):
-                if key != group:
-                    pivot.end(last)
-                    group, at = key, 0
-                at += 1
-                pivot.meet(base + i, x, size, _mixed(h, 1000 * level + at + SEED))
-            yield from out(settled, 0)
-            settled.clear()
-        if pivot is not None and pivot.held is not None:
-            pivot.held = (0, *pivot.held[1:])
-            pivot.end(last)
-            yield from out(settled, 0)
+            sid, bucket = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "bucket"))
+            cuts = [0, *(np.flatnonzero((sid[1:] != sid[:-1]) | (bucket[1:] != bucket[:-1])) + 1).tolist(), len(b)]
+            for at, end in zip(cuts, cuts[1:]):
+                if held and (sid[at], bucket[at]) != key:
+                    yield out()
+                    held = []
+                held.append(b.slice(at, end - at))
+                key = (sid[at], bucket[at])
+        if held:
+            yield out()
 
     names = [c.split()[0] for c in ROW.split(", ")]
     dealt = rows.select(*names).repartition(n, "sid", "bucket").sortWithinPartitions("sid", "bucket", "h", "doc_id", "row")
@@ -141,7 +151,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     A document of its source's share p = target / source_size gets floor(p) copies and one more with probability
     p - floor(p), by pivotal rounding: within groups of about ``group_rows`` documents of one source, picked by hash,
     then among the groups' residuals, FANOUT groups at a time, up to one residual for each source, which is rounded.
-    So a source's words differ from its target by half a document at most, and a large source is many groups.
+    So a source's words differ from its target by half a document at most, by a few words if it is one group, and a
+    large source is many groups.
     Reruns agree, however rows are dealt. Null or blank texts have size 0 and no copies; a null source is a source.
     """
     spark = docs.sparkSession
