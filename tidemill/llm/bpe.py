@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-WORDS_KEPT, SEEN_BITS, WORDS_TOGETHER = 900_000, 23, 200
+WORDS_KEPT, SEEN_BITS, WORDS_TOGETHER = 600_000, 23, 200
 SLICE_BYTES = 8 << 20
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
