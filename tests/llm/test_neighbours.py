@@ -123,6 +123,28 @@ def test_near_duplicate_stage(spark):
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def similar(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def words_by(seed):
+    r = random.Random(seed)
+    return lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(n)]
+
+
+def test_stage_links_truncated_and_appended_copies(spark):
+    word, rows = words_by(11), []
+    for g in range(60):
+        w = word((60, 100, 200, 400)[g % 4])
+        n = len(w)
+        rows += [(g * 10, " ".join(w), "en", "a", 1), (g * 10 + 1, " ".join(w[: int(0.83 * n)]), "en", "a", 1), (g * 10 + 2, " ".join(w + word(int(0.2 * n))), "en", "a", 1)]
+    of = {x[0]: x[1] for x in rows}
+    assert all(0.8 <= similar(of[i // 10 * 10], of[i]) < 0.86 for i in of if i % 10)
+    kept = simhash.drop_near_duplicates(docs(spark, rows))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [g * 10 for g in range(60)]
+
+
 def test_containment_against_brute_force(spark):
     r = random.Random(2)
     words = [f"w{i}" for i in range(400)]

@@ -7,7 +7,8 @@ differs in no more bits than that agrees on the whole mask of some table (Pagh,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -240,68 +241,170 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, hot_g
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-STAGE_WORDS, STAGE_TABLES, WIDE_WORDS, WIDE_RADIUS = 5, 3, 4, 48
+STAGE_WORDS, MAP_BITS, SMALL_GROUP = 5, 512, 16
+SAMPLED, COMMON = 10_000, 200_000
 
 
-def _remixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Other hashes of the same values (splitmix64)."""
-    z = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def shingle_set(text: bytes) -> np.ndarray:
+    """The hashes of the distinct shingles of STAGE_WORDS words of a whole text, in order."""
+    found = list(shingle_hashes(text, STAGE_WORDS))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _fingerprints_of(text: bytes, words: int, seeds: range) -> bytes:
-    """Several 64-bit SimHashes of one text's shingles, by independent hashes."""
-    ones, n = np.zeros((len(seeds), 64), np.int64), 0
-    for h in shingle_hashes(text, words):
-        for i, k in enumerate(seeds):
-            ones[i] += _bit_counts(_remixed(h, k))
-        n += len(h)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes()
+def parity_map(h: np.ndarray) -> bytes:
+    """For each of MAP_BITS bins whether it holds an odd number of hashes: two maps differ in no more bits than two sets in elements."""
+    return np.packbits((np.bincount((h % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The n - ceil(0.8 n) + 1 first shingles of a set of n, in one order for all sets: those not in ``common`` first, then by count.
+
+    Two sets with a Jaccard similarity of 0.8 share 0.8 of the larger at least, and so one of these, whatever the order.
+    """
+    rank = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[at] == h, counts[at], 0)
+    return h[np.lexsort((h, rank))[: len(h) - (4 * len(h) + 4) // 5 + 1]] if len(h) else h
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of shingles that several of a sample of documents hold. They only order the prefixes: any will do."""
+    share = min(1.0, SAMPLED / max(1, docs.count()))
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("text").cast("binary").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("t"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py() or b"").view(np.int64))], names=["h"])
+
+    found = mapped(some, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, row, narrow, wide): STAGE_TABLES 64-bit SimHashes of a whole text's words, and one of 256 bits of its shingles of STAGE_WORDS words."""
+    """Rows (doc_id, row, node, n, bits, keys): a digest of a whole text's set of shingles, its size, parity map and prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
         for b in batches:
-            texts = [x.as_py() or b"" for x in b.column("t")]
-            narrow = [_fingerprints_of(t, 1, range(STAGE_TABLES)) for t in texts]
-            wide = [_fingerprints_of(t, STAGE_WORDS, range(10, 10 + WIDE_WORDS)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(narrow, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "row", "narrow", "wide"])
+            rows = []
+            for x in b.column("t"):
+                h = shingle_set(x.as_py() or b"")
+                rows.append((hashlib.blake2b(h.tobytes(), digest_size=16).digest(), len(h), parity_map(h), prefix(h, common, counts).tobytes()))
+            own = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *own], names=["doc_id", "row", "node", "n", "bits", "keys"])
+
+    return mapped(docs.select("doc_id", F.xxhash64(F.lit(5), "text").alias("row"), F.col("text").cast("binary").alias("t")), run, "doc_id long, row long, node binary, n long, bits binary, keys binary")
+
+
+def _split(rows: DataFrame, packed: str, name: str, own: str) -> DataFrame:
+    """Rows (name, own): one for each integer of eight bytes in ``packed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(packed).to_pylist()
+            values = np.frombuffer(b"".join(x), np.int64)
+            owner = np.repeat(b.column(own).to_numpy(), [len(v) // 8 for v in x])
+            for at in range(0, len(values), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(values[at : at + CHUNK]), pa.array(owner[at : at + CHUNK])], names=[name, own])
+
+    return mapped(rows.select(packed, own), run, f"{name} long, {own} long")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Rows (g, members): the sets of ids, packed and in order, that share a key (columns h, id); each set once, however many keys its ids share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            if not len(b):
+                continue
+            h, ids = b.column("h").to_numpy(), b.column("id").to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]]).tolist()
+            out = []
+            for s, e in zip(cut, cut[1:]):
+                if held and h[s] != key:
+                    out.append(np.concatenate(held).tobytes())
+                    held = []
+                key = h[s]
+                held.append(ids[s:e])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["members"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["members"])
+
+    dealt = rows.select("h", "id").repartition(width(rows.sparkSession), "h").sortWithinPartitions("h", "id")
+    return mapped(dealt, run, "members binary").filter("length(members) > 8").distinct().withColumn("g", F.xxhash64("members"))
+
+
+def _by_group(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[tuple[bytes, bytes]]]) -> DataFrame:
+    """Rows (a, b) that ``found`` makes of the columns of all rows of a group g, as lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, [[] for _ in columns]
+
+        def links() -> Iterator[pa.RecordBatch]:
+            some = list(found(*held)) if held[0] else []
+            for at in range(0, len(some), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in some[at : at + CHUNK]], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            if not len(b):
+                continue
+            g = b.column("g").to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]]).tolist()
+            for s, e in zip(cut, cut[1:]):
+                if g[s] != key:
+                    yield from links()
+                    key, held = g[s], [[] for _ in columns]
+                for x, c in zip(held, columns):
+                    x += b.column(c)[s:e].to_pylist()
+        yield from links()
+
+    dealt = rows.select("g", *columns).repartition(width(rows.sparkSession), "g").sortWithinPartitions("g", "node")
+    return mapped(dealt, run, "a binary, b binary")
+
+
+def _can_be_near(n: np.ndarray, bits: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """False where sizes or parity maps rule out 0.8: sets that share that differ in a ninth of their sizes' sum at most."""
+    both = n[others] + n[one]
+    apart = np.bitwise_count(bits[others] ^ bits[one]).sum(axis=1, dtype=np.int64)
+    return (9 * np.abs(n[others] - n[one]) <= both) & (9 * apart <= both)
+
+
+def _maps(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+
 
-    return mapped(docs.select("doc_id", F.xxhash64(F.lit(5), "text").alias("row"), F.col("text").cast("binary").alias("t")), run, "doc_id long, row long, narrow binary, wide binary")
+def _pairs(node: list[bytes], n: list[int], bits: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    n, bits, at = np.array(n), _maps(bits), np.arange(len(node))
+    for i in range(len(node) - 1):
+        for j in at[i + 1 :][_can_be_near(n, bits, i, at[i + 1 :])].tolist():
+            if node[i] != node[j]:
+                yield (min(node[i], node[j]), max(node[i], node[j]))
 
 
-def _as_long(c: Column) -> Column:
-    """Eight bytes, least first, as a signed integer."""
-    digits = F.hex(c)
-    swapped = F.concat(*(F.substring(digits, at, 2) for at in range(15, 0, -2)))
-    half = lambda at: F.conv(F.substring(swapped, at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+def near_links(docs: DataFrame, nodes: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
+    """Links (a, b) between nodes: all pairs with a Jaccard similarity of 0.8 or more, and others near that."""
+    at = nodes.filter("n > 0").select(F.xxhash64("node").alias("id"), "node", "n", "bits", "keys")
+    groups = _groups(_in_company(_split(at, "keys", "h", "id"), ["h"]))
+    # ids of one hash and groups of one only make candidates more
+    return _by_group(_split(groups, "members", "id", "g").join(at.drop("keys"), "id"), ["node", "n", "bits"], _pairs)
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, wide_radius: int = WIDE_RADIUS, hot_group: int = HOT_GROUP) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """The rows of documents, without all but the smallest doc_id of each group of near-duplicates.
 
-    Texts are linked if the SimHashes of their shingles of five words differ in at most ``wide_radius`` of 256 bits, the
-    expected distance at a Jaccard similarity of about 0.73, so that pairs of 0.8 and more are found; candidates are
-    pairs that a covering table of one of STAGE_TABLES SimHashes of single words (which an edited word changes least)
-    brings together within ``radius`` bits. Texts without words are one group. Of rows with one doc_id and text one
-    stays. A null doc_id counts as the largest.
+    Texts are linked if the Jaccard similarity of their sets of distinct shingles of five words is 0.8 or more. Candidates
+    are pairs that share a shingle of their prefixes, which all such pairs do. Texts without words are one group. Of rows
+    with one doc_id and text one stays. A null doc_id counts as the largest.
     """
-    found = written(sketches(docs))
-    links = None
-    for i in range(STAGE_TABLES):
-        own = F.substring("narrow", 8 * i + 1, 8)
-        nodes = written(found.select(own.alias("own"), "wide").distinct().select(_as_long(F.col("own")).alias("fp"), F.concat("own", "wide").alias("node")))
-        part = covering_links(nodes, radius, wide_radius, hot_group)
-        links = part if links is None else links.unionByName(part)
-    only_wide = lambda c: F.substring(c, 9, 8 * WIDE_WORDS).alias(c)
-    roots = components(forest(written(links.select(only_wide("a"), only_wide("b")))))
     last = F.col("doc_id").isNull().alias("last")
-    named = found.groupBy("wide").agg(F.min(F.struct(last, "doc_id", "row")).alias("least")).join(roots.withColumnRenamed("node", "wide"), "wide", "left")
-    keep = named.groupBy(F.coalesce("root", "wide")).agg(F.min("least").alias("k")).select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("_doc"), F.col("k.row").alias("_row"))
+    nodes = written(sketches(docs).groupBy("node").agg(F.min(F.struct(last, "doc_id", "row")).alias("least"), *(F.first(c).alias(c) for c in ("n", "bits", "keys"))))
+    roots = components(forest(written(near_links(docs, nodes, small_group))))
+    keep = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("k")).select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("_doc"), F.col("k.row").alias("_row"))
     x = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63))), "_row": F.xxhash64(F.lit(5), "text")})
     return x.join(keep, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select(*docs.columns)
