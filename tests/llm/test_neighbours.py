@@ -145,6 +145,28 @@ def test_stage_links_truncated_and_appended_copies(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [g * 10 for g in range(60)]
 
 
+def test_stage_removes_by_exact_similarity_alone(spark):
+    word, rows, r = words_by(12), [], random.Random(3)
+    passage, line = word(60), word(30)
+    for i in range(30):
+        rows.append((i, " ".join(word(100) + passage * (5 + i % 4)), "en", "a", 1))
+        rows.append((100 + i, " ".join(word(100) + line * 20), "en", "a", 1))
+        w = word(150)
+        for k in range(6):
+            x = list(w)
+            for at in r.sample(range(150), k * 2 // 2):
+                x[at] = "other"
+            rows.append((1000 + i * 10 + k, " ".join(x), "en", "a", 1))
+    sets = [shingles(x[1]) for x in rows]
+    near = [(i, j) for i, j in combinations(range(len(rows)), 2) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    top = groups(len(rows), near)
+    least = {}
+    for i, x in enumerate(rows):
+        least[top[i]] = min(least.get(top[i], x[0]), x[0])
+    got = sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs(spark, rows)).collect())
+    assert near and got == sorted(least.values()) and {*range(30), *range(100, 130)} <= set(got)
+
+
 def test_containment_against_brute_force(spark):
     r = random.Random(2)
     words = [f"w{i}" for i in range(400)]

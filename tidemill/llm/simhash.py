@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, hot_g
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-STAGE_WORDS, MAP_BITS, SMALL_GROUP = 5, 512, 16
+STAGE_WORDS, MAP_BITS = 5, 2048
 SAMPLED, COMMON = 10_000, 200_000
 
 
@@ -379,32 +379,82 @@ def _maps(bits: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
 
 
-def _pairs(node: list[bytes], n: list[int], bits: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    n, bits, at = np.array(n), _maps(bits), np.arange(len(node))
-    for i in range(len(node) - 1):
-        for j in at[i + 1 :][_can_be_near(n, bits, i, at[i + 1 :])].tolist():
-            if node[i] != node[j]:
-                yield (min(node[i], node[j]), max(node[i], node[j]))
+def _possible(node: list[bytes], n: list[int], bits: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Rows (least node, node) of the components of a group by pairs that can be near; those alone are left out."""
+    n, bits, todo = np.array(n), _maps(bits), np.arange(len(node))
+    while len(todo) > 1:
+        root, todo = int(todo[0]), todo[1:]
+        front, alone = [root], True
+        while front and len(todo):
+            near = _can_be_near(n, bits, front.pop(), todo)
+            for y in todo[near].tolist():
+                yield node[root], node[y]
+                front.append(y)
+                alone = False
+            todo = todo[~near]
+        if not alone:
+            yield node[root], node[root]
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is 0.8 or more."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _spanning(node: list[bytes], own: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Verified links that span the components of a group; only sets without a component yet are compared."""
+    sets = [np.frombuffer(x, np.uint64) for x in own]
+    n, bits = np.array(list(map(len, sets))), _maps([parity_map(x) for x in sets])
+    todo = np.arange(len(node))
+    while len(todo) > 1:
+        front, todo = [int(todo[0])], todo[1:]
+        while front and len(todo):
+            x = front.pop()
+            near = _can_be_near(n, bits, x, todo)
+            near[near] = [_shared(sets[x], sets[y]) for y in todo[near].tolist()]
+            for y in todo[near].tolist():
+                yield node[x], node[y]
+                front.append(y)
+            todo = todo[~near]
+
 
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (node, own): the sets of shingles of the nodes wanted, from a text of each."""
+    first = nodes.join(wanted, "node", "left_semi").select(F.coalesce("least.doc_id", F.lit(-(2**63))).alias("_doc"), F.col("least.row").alias("_row"), "node")
+    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_doc"), F.xxhash64(F.lit(5), "text").alias("_row"), F.col("text").cast("binary").alias("t"))
 
-def near_links(docs: DataFrame, nodes: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
-    """Links (a, b) between nodes: all pairs with a Jaccard similarity of 0.8 or more, and others near that."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(x.as_py() or b"").tobytes() for x in b.column("t")], pa.binary())], names=["node", "own"])
+
+    return mapped(texts.join(first, ["_doc", "_row"]).dropDuplicates(["node"]).select("node", "t"), run, "node binary, own binary")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of nodes: pairs whose sets have a Jaccard similarity of 0.8 or more, and no others.
+
+    Nodes that share a key fall into parts that sizes and parity maps can't tell apart. Parts with the same least node
+    become one, whose sets are brought together and compared, as far as they have no component yet.
+    """
     at = nodes.filter("n > 0").select(F.xxhash64("node").alias("id"), "node", "n", "bits", "keys")
-    groups = _groups(_in_company(_split(at, "keys", "h", "id"), ["h"]))
+    groups = written(_groups(_in_company(_split(at, "keys", "h", "id"), ["h"])))
     # ids of one hash and groups of one only make candidates more
-    return _by_group(_split(groups, "members", "id", "g").join(at.drop("keys"), "id"), ["node", "n", "bits"], _pairs)
+    parts = _by_group(_split(groups, "members", "id", "g").join(at.drop("keys"), "id"), ["node", "n", "bits"], _possible)
+    parts = written(parts.distinct().select(F.xxhash64("a").alias("g"), F.col("b").alias("node")))
+    sets = _sets(docs, nodes, parts.select("node").distinct())
+    return _by_group(parts.join(sets, "node"), ["node", "own"], _spanning)
 
 
-def drop_near_duplicates(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of documents, without all but the smallest doc_id of each group of near-duplicates.
 
     Texts are linked if the Jaccard similarity of their sets of distinct shingles of five words is 0.8 or more. Candidates
-    are pairs that share a shingle of their prefixes, which all such pairs do. Texts without words are one group. Of rows
+    are pairs that share a shingle of their prefixes, which all such pairs do, and each link is verified. Texts without words are one group. Of rows
     with one doc_id and text one stays. A null doc_id counts as the largest.
     """
     last = F.col("doc_id").isNull().alias("last")
     nodes = written(sketches(docs).groupBy("node").agg(F.min(F.struct(last, "doc_id", "row")).alias("least"), *(F.first(c).alias(c) for c in ("n", "bits", "keys"))))
-    roots = components(forest(written(near_links(docs, nodes, small_group))))
+    roots = components(forest(written(near_links(docs, nodes))))
     keep = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("k")).select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("_doc"), F.col("k.row").alias("_row"))
     x = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63))), "_row": F.xxhash64(F.lit(5), "text")})
     return x.join(keep, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select(*docs.columns)
