@@ -41,6 +41,19 @@ def test_language_cases(spark):
     assert langid.family_of("pt-BR") == "romance" and langid.family_of("xx") == "xx"
 
 
+def test_more_languages_than_fit_a_small_model(spark):
+    rows = []
+    for g in range(45):
+        own = "abcdefghijklmnopqrstuvwxyz"
+        pair = own[g % 26] + own[(g * 7 + g // 26 + 3) % 26]
+        rows += [(g * 100 + i, f"{pair * 4} {pair * 3}{own[i]} {pair * 5}", f"x{g:02d}", "a", 1) for i in range(12 if g < 40 else 8)]
+    want = {x[0]: x[2] for x in rows}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(docs(spark, rows)).collect()}
+    assert set(got.values()) == set(want.values()) and np.mean([got[i] == want[i] for i in want]) > 0.9
+    few = langid.training_rows(docs(spark, rows), most_rows=20).groupBy("lang").count().collect()
+    assert len(few) == 45
+
+
 def test_labels_are_never_inputs(spark):
     d = table(spark, SF, "documents")
     model = langid.train(d)

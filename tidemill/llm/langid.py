@@ -16,7 +16,7 @@ from .work import mapped
 
 UNDETERMINED = "und"
 ORDERS, BITS = (1, 2, 3), 14
-PER_LANG, MOST_LANGS = 300, 32
+PER_LANG, MOST_ROWS = 300, 9600
 FOLDS, HELD_FOLD = 5, 0
 # Families of languages by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -60,33 +60,29 @@ def profile(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, np.sqrt(counts[at] / counts.sum())
 
 
-def dense(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << BITS, np.float32)
-    out[at] = values
-    return out
-
-
 def held_out(key: Column, folds: int = FOLDS, fold: int = HELD_FOLD) -> Column:
     """True for rows never learned from: those of the fold, by crc32 of the key as text, and those without a key."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(True))
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 15) -> np.ndarray:
-    """Weights (the last is the bias) of a linear support vector machine, by dual coordinate descent; y is 1 or -1."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1).astype(np.float32)
-    square = (x * x).sum(axis=1)
+def train_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, penalty: float = 1.0, rounds: int = 15) -> np.ndarray:
+    """Weights (the last is the bias) of a linear support vector machine, by dual coordinate descent; x has (buckets, values), y is 1 or -1."""
+    one = np.ones(1, np.float32)
+    x = [(np.append(at, 1 << BITS), np.concatenate([values.astype(np.float32), one])) for at, values in x]
+    square = [float(values @ values) for _, values in x]
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * penalty * 10
-    y, weight, square = y.tolist(), weight.tolist(), square.tolist()
-    alpha, w = [0.0] * len(y), np.zeros(x.shape[1], np.float32)
+    y, weight = y.tolist(), weight.tolist()
+    alpha, w = [0.0] * len(y), np.zeros((1 << BITS) + 1, np.float32)
     order = np.random.default_rng(5)
     for _ in range(rounds):
         most = 0.0
         for i in order.permutation(len(y)):
-            gradient = y[i] * float(x[i] @ w) - 1
+            at, values = x[i]
+            gradient = y[i] * float(values @ w[at]) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), weight[i])
             if new != alpha[i]:
                 most = max(most, abs(new - alpha[i]))
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w[at] += np.float32((new - alpha[i]) * y[i]) * values
                 alpha[i] = new
         if most < 1e-4:
             break
@@ -96,7 +92,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
 class Model:
     """Machines between families and, within each, between languages; every one votes with a logistic margin."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
         names = sorted(set(langs))
         self.families: dict[str, list[str]] = {}
         for lang in names:
@@ -107,8 +103,8 @@ class Model:
         weights = []
         for group, labels, choices in [("", family, sorted(self.families)), *((f, of, own) for f, own in sorted(self.families.items()))]:
             for a, b in combinations(choices, 2):
-                rows = (labels == a) | (labels == b)
-                weights.append(train_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0)))
+                rows = np.flatnonzero((labels == a) | (labels == b))
+                weights.append(train_svm([x[i] for i in rows], np.where(labels[rows] == a, 1.0, -1.0)))
                 self.pairs.append((group, a, b))
         self.weights = np.ascontiguousarray(np.array(weights, np.float32).T) if weights else np.zeros(((1 << BITS) + 1, 0), np.float32)
 
@@ -135,29 +131,33 @@ class Model:
         return lang, round(min(1.0, max(0.0, p * q)), 6)
 
 
-def training_rows(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> DataFrame:
-    """Rows (lang, x) of at most about per_lang documents of each of the most_langs most frequent languages, picked by hash of the document id."""
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Rows (lang, at, x) of at most about per_lang documents of every language, picked by hash of the document id, and at least one.
+
+    Where that would be more than most_rows in all, every language gets an equal share of them.
+    """
     x = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = {r[0]: r[1] for r in x.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
+    x = x.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    counts = [(r[0], r[1], r[2]) for r in x.groupBy("lang").agg(F.count(F.lit(1)), F.min("u")).collect()]
     if not counts:
-        return x.limit(0).select("lang", F.lit(b"").alias("x"))
-    share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_lang / n))))
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    some = x.filter(u < share[F.col("lang")]).select("lang", F.col("text").cast("binary").alias("t"))
+        return x.limit(0).select("lang", F.lit(b"").alias("at"), F.lit(b"").alias("x"))
+    most = min(per_lang, most_rows / len(counts))
+    limits = docs.sparkSession.createDataFrame([(lang, max(least + 1, int(np.ceil(min(1.0, most / n) * (1 << 30))))) for lang, n, least in counts], "lang string, below long")
+    some = x.join(F.broadcast(limits), "lang").filter("u < below").select("lang", F.col("text").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [dense(*profile(t.as_py().decode("utf-8", "replace"))) for t in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([v.astype(np.float16).tobytes() for v in found], pa.binary())], names=["lang", "x"])
+            found = [profile(t.as_py().decode("utf-8", "replace")) for t in b.column("t")]
+            at, values = ([v[i].astype(kind).tobytes() for v in found] for i, kind in enumerate((np.int32, np.float16)))
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["lang", "at", "x"])
 
-    return mapped(some, run, "lang string, x binary")
+    return mapped(some, run, "lang string, at binary, x binary")
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fits on a sample of whole texts bounded by per_lang x MOST_LANGS documents, each of 2^BITS numbers."""
-    rows = sorted((r[0], bytes(r[1])) for r in training_rows(docs, per_lang).collect())
-    x = np.array([np.frombuffer(v, np.float16) for _, v in rows], np.float32).reshape(len(rows), 1 << BITS)
-    return Model(x, [k for k, _ in rows])
+    """Fits on a sample of whole texts of all languages, bounded by MOST_ROWS documents or one of each language."""
+    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in training_rows(docs, per_lang).collect())
+    return Model([(np.frombuffer(at, np.int32), np.frombuffer(v, np.float16)) for _, at, v in rows], [r[0] for r in rows])
 
 
 def predict_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
