@@ -131,7 +131,7 @@ def test_stores_bytes_without_loss(n):
     data = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes()
     file = jpeg.store(data, n)
     image = jpeg.Image(file)
-    assert jpeg.load(image) == data
+    assert jpeg.load(image) == (data, n)
 
     class BitByBit(jpeg.Image):
         def _array_scan(self, *args):
@@ -149,6 +149,74 @@ def test_broken_files_and_nulls(spark):
     assert got[2]["media_bytes"] is None and got[3]["feature"] is None and got[3]["media_bytes"] == 8 and got[5]["feature"] is None
 
 
+def test_any_bytes_are_read_or_refused():
+    rng = np.random.default_rng(8)
+    coefs = [np.zeros((2 * f, 2 * f, 64), np.int16) for f in (2, 1, 1)]
+    for c in coefs:
+        c[:] = rng.integers(-90, 90, c.shape) * (rng.random(c.shape) < 0.1)
+    files = [jpeg.store(rng.integers(0, 256, 576).astype(np.uint8).tobytes(), 570), progressive(coefs, 30, 25)]
+    odd = [b"\xff\xd8\xff\xd9", b"\xff\xd8", b"\xff\xd8\xff", b""]
+    for f in files:
+        odd += [f[:n] for n in range(0, len(f), 3)]
+        odd += [f[:i] + bytes([x]) + f[i + 1 :] for i in range(len(f)) for x in ({0, 255, f[i] ^ 1} if i < 700 or i % 7 == 0 else ())]
+        head = f.index(b"\xff\xc2")
+        odd.append(f[: head + 5] + b"\xff\xff\xff\xff" + f[head + 9 :])
+    for f in odd:
+        got = media._decoded(f, True)
+        assert got["media_bytes"] == len(f) and ("feature" not in got or got["rgb"] is not None)
+    huge = jpeg._segment(0xC2, b"\x08\xff\xff\xff\xff" + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    with pytest.raises(jpeg.Bad, match="larger"):
+        jpeg.Image(b"\xff\xd8" + huge + b"\0" * 100_000)
+
+
+def plain_pixels(payload):
+    """What the pixels of a stored payload are: whole coefficients, the transform by its definition, chroma repeated."""
+    m = -(-len(payload) // 384)
+    w = int(np.ceil(np.sqrt(m)))
+    h = -(-m // w)
+    b = np.frombuffer(payload + b"\xff" * (w * h * 384 - len(payload)), np.uint8).astype(int).reshape(-1, 64)
+    coefs = np.where(b >= 128, b, b - 255)
+    n = w * h
+    k = np.arange(8)
+    basis = np.where(k[:, None] == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
+    planes = []
+    for own, across, down in ((coefs[: 4 * n], 2 * w, 2 * h), (coefs[4 * n : 5 * n], w, h), (coefs[5 * n :], w, h)):
+        own = own.copy()
+        for at in range(len(own)):  # DC values are sums, anew every eighth block
+            own[at, 0] += own[at - 1, 0] if at % 8 else 0
+        out = np.zeros((8 * down, 8 * across))
+        for at, c in enumerate(own):
+            block = np.zeros(64)
+            block[jpeg.ZIGZAG] = c
+            r, q = divmod(at, across)
+            out[8 * r : 8 * r + 8, 8 * q : 8 * q + 8] = basis.T @ block.reshape(8, 8) @ basis + 128
+        planes.append(np.clip(out, 0, 255))
+    y, cb, cr = planes[0], *(p.repeat(2, 0).repeat(2, 1) - 128 for p in planes[1:])
+    return np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2), 0, 255)
+
+
+@pytest.mark.parametrize("n", [576, 576 * 4, 576 * 11])
+def test_feature_against_the_definition(n):
+    payload = media.payload_of(np.random.default_rng(n).integers(0, 256, n - 7).astype(np.uint8).tobytes())
+    file = jpeg.store(payload, n - 7)
+    got = media._decoded(file, True)
+    want = plain_pixels(payload)
+    pixels = np.frombuffer(got["rgb"], np.uint8).reshape(want.shape)
+    assert np.abs(pixels - want).max() < 3 and np.abs(pixels - want).mean() < 0.6
+    size, *sums, crc = got["feature"].split(";")
+    assert size == f"{want.shape[0]}x{want.shape[1]}" and [int(x) for x in sums] == pixels.reshape(-1, 3).sum(0, dtype=int).tolist() and crc == f"{zlib.crc32(got['rgb']):08x}"
+    assert got["media_sha256"] == hashlib.sha256(file).hexdigest() and got["payload"] == payload
+
+
+def test_tensors_are_stored(spark):
+    got = {(r["doc_id"], r["rgb_sha256"]): r for r in media.tensor_digests(docs(spark, clash=True)).collect()}
+    for i, text, *_ in ROWS:
+        image = jpeg.Image(jpeg.store(media.payload_of((text or "").encode()), len((text or "").encode())))
+        raw = image.rgb().tobytes()
+        r = got[i, hashlib.sha256(raw).hexdigest()]
+        assert (r["height"], r["width"], r["rgb_bytes"]) == (image.height, image.width, len(raw))
+
+
 def test_payload_digests(spark):
     got = sorted((tuple(r) for r in media.payload_digests(docs(spark, clash=True)).collect()), key=str)
     want = []

@@ -91,23 +91,66 @@ def test_rules_and_links(spark, tmp_path):
     assert linkrank.judge_urls(df.limit(0)).count() == 0
 
 
-def test_ranks_match_power_iteration(spark):
+def solved(links, seeds, col):
+    """Ranks by a linear solve: r = seed + 0.85 M r."""
     import numpy as np
 
-    links = [("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "a", 1), ("d", "c", 2)]
-    seeds = [("a", 1.0, 0.0), ("d", 0.0, 2.0), ("e", 0.5, 0.5)]
-    got = {r["host"]: r for r in linkrank.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(links, "src string, dst string, n long")).collect()}
-    names = "abcde"
-    t, s = np.zeros((5, 5)), np.zeros((5, 5))
+    names = sorted({x for a, b, _ in links for x in (a, b)} | {s[0] for s in seeds})
+    m = np.zeros((len(names), len(names)))
     for a, b, n in links:
-        t[names.index(b), names.index(a)] += n
-        s[names.index(a), names.index(b)] += n
-    for m in (t, s):
-        for i in range(5):
-            m[:, i] /= m[:, i].sum() or 1
-    for col, m in (("trust", t), ("distrust", s)):
-        seed = np.array([dict((h, (x, y)[col == "distrust"]) for h, x, y in seeds).get(n, 0.0) for n in names])
-        r = seed
-        for _ in range(linkrank.ROUNDS):
-            r = seed + 0.85 * m @ r
-        assert np.allclose([got[n][col] for n in names], r, atol=1e-6)
+        i, j = names.index(a), names.index(b)
+        if col == "trust":
+            m[j, i] += n
+        else:
+            m[i, j] += n
+    m /= np.maximum(m.sum(axis=0), 1e-300)
+    s = np.zeros(len(names))
+    for h, t, d in seeds:
+        s[names.index(h)] += t if col == "trust" else d
+    return dict(zip(names, np.linalg.solve(np.eye(len(names)) - 0.85 * m, s)))
+
+
+def test_ranks_match_a_linear_solve(spark):
+    import random
+
+    r = random.Random(3)
+    small = [("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "a", 1), ("d", "c", 2)], [("a", 1.0, 0.0), ("d", 0.0, 2.0), ("e", 0.5, 0.5)]
+    ring = [(f"h{i:02d}", f"h{(i + 1) % 40:02d}", 1) for i in range(40)]  # mass goes round and round: settles slowly
+    hub = [("hub", f"x{i}", r.randint(1, 5)) for i in range(300)] + [(f"x{i}", "hub", 1) for i in range(0, 300, 2)] + [(f"x{i}", f"x{(i * 7) % 300}", 2) for i in range(1, 300, 3) if i != i * 7 % 300]
+    for links, seeds in (small, (ring, [("h00", 10.0, 0.0), ("h20", 0.0, 50.0)]), (hub, [("hub", 5.0, 1.0), ("x5", 0.0, 7.0)])):
+        got = {x["host"]: x for x in linkrank.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(links, "src string, dst string, n long"), 0.05).collect()}
+        for col in ("trust", "distrust"):
+            want = solved(links, seeds, col)
+            assert set(got) == set(want) and sum(abs(got[h][col] - v) for h, v in want.items()) < 0.05
+
+
+def test_ranks_that_do_not_settle_fail(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(linkrank, "MOST_ROUNDS", 8)
+    with pytest.raises(RuntimeError, match="settle"):
+        linkrank.propagate(spark.createDataFrame([("a", 1e6, 0.0)], "host string, trust double, distrust double"), spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long"))
+
+
+def test_hot_hosts_and_odd_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [page(i, "http://hot.example.net/es/1") for i in range(300)] + [page(300 + i, "http://hot.example.net/other") for i in range(100)] + [page(500, "http://long.example.org/" + "x" * 200_000), page(501, "http://" + "y" * 100_000), (502, "", None)] * 2
+    names = ["host", "path", "rule", "verdict", "action", "pages", "trust", "n", "c", "_salt", "by_host"]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("mine") for n in names})
+    got = linkrank.judge_urls(df).collect()
+    assert len(got) == len(rows) and {x["verdict"] for x in got if x["page_id"] < 400} == {"block"} and {x["verdict"] for x in got if x["page_id"] >= 500} == {"allow"}
+
+
+def test_skewed_joins_lose_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemill.llm import work
+
+    monkeypatch.setattr(work, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(work, "SMALL", 0)
+    big = spark.createDataFrame([(k, i) for i in range(500) for k in ([7] if i < 300 else [8] if i < 400 else [i])], "k long, i long")
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"), (F.min("k") * 2).alias("twice")).filter("k % 5 <> 1")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small.drop("n"), "k", how).collect()))
+        assert sorted(map(str, work.skew_join(big, small, ["k"], "n", 500, how).collect())) == want

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from fixtures import ROWS, docs
 
-from tidemill.llm import decontam, simhash, stars
+from tidemill.llm import decontam, mixing, nearsets, quality, simhash, stars
 
 
 def groups(n, pairs):
@@ -65,36 +65,43 @@ def test_fingerprints_and_components(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_fingerprint_holds_most_rows(spark):
+    rows = [(i, "", "en", "a", 1) for i in range(400)] + [(1000 + i, "all the same words here", "en", "a", 1) for i in range(400)] + [(5000 + i, f"word{i} a b c d e", "en", "a", 1) for i in range(9)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert len(got) == 809 and {got[i] for i in range(400)} == {0} and {got[1000 + i] for i in range(400)} == {1000}
+
+
 @pytest.mark.parametrize("hot", [8, 10**9])
 def test_hot_groups_lose_no_link(spark, hot):
     r = np.random.default_rng(5)
     near = np.unique(r.integers(0, 1 << 12, 250).astype(np.uint64) << np.uint64(20) | np.uint64(0xABC))
     far = r.integers(0, 1 << 63, 50).astype(np.uint64)
     fps = np.concatenate([near, far])
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").withColumn("node", simhash._node())
-    found = stars.components(simhash.covering_links(df, 2, 0, hot)).collect()
-    raw = [x.tobytes() for x in fps]
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    found = stars.components(simhash.covering_links(df, 2, hot)).collect()
+    raw = fps.view(np.int64).tolist()
     top = groups(len(fps), [(i, j) for i, j in combinations(range(len(fps)), 2) if int(fps[i] ^ fps[j]).bit_count() <= 2])
     want = {}
     for i, t in enumerate(top):
         want.setdefault(t, set()).add(raw[i])
     got = {}
     for x in found:
-        got.setdefault(bytes(x["root"]), set()).add(bytes(x["node"]))
+        got.setdefault(x["root"], set()).add(x["node"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, (v for v in want.values() if len(v) > 1)))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("at_once, salted", [(300_000, 10**9), (0, 10**9), (0, 0)])
+def test_components_of_chains_and_stars(spark, monkeypatch, at_once, salted):
+    monkeypatch.setattr(stars, "EDGES_AT_ONCE", at_once)
+    monkeypatch.setattr(stars, "SALTED_EDGES", salted)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 300)] + [(3, 3), (300, 301), (301, 300)]
     got = {r["node"]: r["root"] for r in stars.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in [7, *range(200, 300)]}, 300: 300, 301: 300}
     assert stars.components(spark.createDataFrame([], "a long, b long")).count() == 0
     df = spark.createDataFrame(edges, "a long, b long")
     for held in (3, 1000):
-        stars.NODES_HELD, before = held, stars.NODES_HELD
-        fewer = stars.forest(df.coalesce(1))
+        fewer = stars.forest(df.coalesce(1), held)
         assert {r["node"]: r["root"] for r in stars.components(fewer).collect()} == got and fewer.count() <= len(edges)
-        stars.NODES_HELD = before
 
 
 def shingles(text, n=5):
@@ -114,13 +121,13 @@ def test_near_duplicate_stage(spark):
                 x[r.randrange(200)] = word()
             rows.append((g * 10 + k, " ".join(x), "en", "a", 1))
     rows += [(900, None, "en", "a", 1), (901, "", "en", "a", 1), (None, rows[0][1], "en", "a", 1), rows[5]]
-    kept = simhash.drop_near_duplicates(docs(spark, rows, clash=True))
+    kept = nearsets.drop_near_duplicates(docs(spark, rows, clash=True))
     assert kept.columns == docs(spark, clash=True).columns
     ids = sorted(x["doc_id"] for x in kept.collect())
     own = {x[0]: shingles(x[1]) for x in rows if x[0] is not None}
     assert {*(g * 10 for g in range(40)), 900} <= set(ids) and len(ids) <= 43
     assert all(len(own[g * 10] & own[g * 10 + k]) / len(own[g * 10] | own[g * 10 + k]) > 0.8 for g in range(40) for k in range(4))
-    assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
+    assert nearsets.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
 def similar(a, b):
@@ -141,7 +148,7 @@ def test_stage_links_truncated_and_appended_copies(spark):
         rows += [(g * 10, " ".join(w), "en", "a", 1), (g * 10 + 1, " ".join(w[: int(0.83 * n)]), "en", "a", 1), (g * 10 + 2, " ".join(w + word(int(0.2 * n))), "en", "a", 1)]
     of = {x[0]: x[1] for x in rows}
     assert all(0.8 <= similar(of[i // 10 * 10], of[i]) < 0.86 for i in of if i % 10)
-    kept = simhash.drop_near_duplicates(docs(spark, rows))
+    kept = nearsets.drop_near_duplicates(docs(spark, rows))
     assert sorted(x["doc_id"] for x in kept.collect()) == [g * 10 for g in range(60)]
 
 
@@ -163,10 +170,76 @@ def test_stage_removes_by_exact_similarity_alone(spark):
     least = {}
     for i, x in enumerate(rows):
         least[top[i]] = min(least.get(top[i], x[0]), x[0])
-    got = sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs(spark, rows)).collect())
+    got = sorted(x["doc_id"] for x in nearsets.drop_near_duplicates(docs(spark, rows)).collect())
     assert near and got == sorted(least.values()) and {*range(30), *range(100, 130)} <= set(got)
 
 
+@pytest.mark.parametrize("nodes, shingles_held", [(4096, 4_000_000), (7, 4_000_000), (4096, 900)])
+def test_stage_in_blocks_loses_no_link(spark, monkeypatch, nodes, shingles_held):
+    """One big group of which only some are near, and chains, in blocks of a few nodes."""
+    monkeypatch.setattr(nearsets, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(nearsets, "BLOCK_SHINGLES", shingles_held)
+    word, r, rows = words_by(21), random.Random(6), []
+    own = word(90)
+    for i in range(90):
+        x = list(own)
+        for at in r.sample(range(90), i % 9):
+            x[at] = f"z{i}"
+        rows.append((i, " ".join(x), "en", "a", 1))
+    chain = word(100)
+    for i in range(40):
+        chain = chain[4:] + word(4)
+        rows.append((500 + i, " ".join(chain), "en", "a", 1))
+    rows += [(900 + i, " ".join(own[:40] + word(60)), "en", "a", 1) for i in range(30)]
+    r.shuffle(rows)
+    sets = [shingles(x[1]) for x in rows]
+    near = [(i, j) for i, j in combinations(range(len(rows)), 2) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    top = groups(len(rows), near)
+    least = {}
+    for i, x in enumerate(rows):
+        least[top[i]] = min(least.get(top[i], x[0]), x[0])
+    got = sorted(x["doc_id"] for x in nearsets.drop_near_duplicates(docs(spark, rows)).collect())
+    assert got == sorted(least.values()) and len(got) < len(rows) - 50
+
+
+def test_blocks_of_keys():
+    made = nearsets._Blocks()
+    made.add(1, np.arange(3), np.array([1, 1, 1]))
+    made.add(2, np.arange(1), np.array([9]))
+    made.add(3, np.arange(10_000), np.full(10_000, 3_000))
+    made.add(3, np.arange(5), np.full(5, 5_000_000))
+    made.end()
+    rows = made.rows
+    assert rows[0][:3] == (1, 0, False) and {x[0] for x in rows} == {1, 3} and [x[1] for x in rows[1:]] == list(range(len(rows) - 1)) and all(x[2] for x in rows[1:])
+    held = [np.frombuffer(x[3], np.int64) for x in rows[1:]]
+    assert np.concatenate(held).tolist() == [*range(10_000), *range(5)] and max(map(len, held)) <= 4_000_000 // 3_000 and [len(x) for x in held[-5:]] == [1] * 5
+
+
+def test_columns_keep_their_values(spark):
+    from fixtures import CLASH
+    from pyspark.sql import functions as F
+
+    names = [*CLASH, "_id", "_row", "_own", "_copy", "_copies", "_times", "_part", "_salt", "times", "stays"]
+    df = docs(spark, ROWS).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    model = quality.train(docs(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    items = spark.createDataFrame([(1, "words that are in no text at all")], "item_id long, text string").withColumns({n: F.lit("x") for n in names})
+    for stage in (nearsets.drop_near_duplicates, mixing.mixed_documents, lambda d: quality.keep_good(d, model, 0.0), lambda d: decontam.keep_clean(d, items)):
+        out = stage(df)
+        assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString()
+        found = out.collect()
+        assert found and all(r[n] == n + str("-" if r["doc_id"] is None else r["doc_id"]) for r in found for n in names)
+
+
+def test_bytes_that_are_no_text(spark):
+    from pyspark.sql import functions as F
+
+    df = docs(spark, ROWS[:3]).withColumn("text", F.concat("text", F.expr("cast(x'ff20fe' as string)")))
+    model = quality.train(docs(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    items = spark.createDataFrame([(1, "words that are in no text at all")], "item_id long, text string")
+    assert quality.keep_good(df, model, 0.0).count() == 3 and decontam.keep_clean(df, items).count() == 3
+    assert nearsets.drop_near_duplicates(df).count() == 3 and mixing.mixed_documents(df).count() >= 3
+
+
 def test_containment_against_brute_force(spark):
     r = random.Random(2)
     words = [f"w{i}" for i in range(400)]
@@ -213,3 +286,27 @@ def test_blocks_of_items(spark, monkeypatch):
     rows = [(i, f"before some item number {i} with words after", "en", "a", 1) for i in range(7)]
     assert sorted((x["doc_id"], x["item_id"]) for x in decontam.contained_items(docs(spark, rows), df).collect()) == [(i, i) for i in range(5)]
     assert sorted(x["doc_id"] for x in decontam.keep_clean(docs(spark, rows), df).collect()) == [5, 6]
+    twice = docs(spark, [*rows, (None, "some item number 3 with words", "en", "a", 1), (None, None, "en", "a", 1), *rows[5:]])
+    assert sorted((x["doc_id"] for x in decontam.keep_clean(twice, df).collect()), key=str) == [5, 5, 6, 6, None]
+    odd = spark.createDataFrame([(None, "some item number 1 with words"), (7, None)], "item_id long, text string")
+    assert [(x["doc_id"], x["item_id"]) for x in decontam.contained_items(docs(spark, rows), odd).collect()] == [(1, None)]
+
+
+def test_one_block_is_alive_at_a_time(spark, monkeypatch):
+    """Blocks are sent out one after another, each gone before the next, and documents are read once for each."""
+    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 8)
+    alive, most, real = set(), [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        b = real(value)
+        alive.add(id(b))
+        most.append(len(alive))
+        gone = b.destroy
+        b.destroy = lambda *a: (alive.discard(id(b)), gone(*a))
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    df = spark.createDataFrame([(i, f"some item number {i} with words") for i in range(12)], "item_id long, text string")
+    rows = [(i, f"before some item number {i} with words after", "en", "a", 1) for i in range(14)]
+    found = decontam.contained_items(docs(spark, rows), df)
+    assert len(most) == 12 and max(most) == 1 and not alive and found.count() == 12

@@ -12,4 +12,4 @@ def test_matches_sql(spark, sf_dir, name):
 
 
 def test_ten_operators_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))

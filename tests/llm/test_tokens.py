@@ -1,5 +1,10 @@
+import ast
 import random
+import shutil
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +17,6 @@ from tidemill.llm import bpe, lengths, rans, tokens
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(bpe.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -71,10 +75,61 @@ def test_token_index_against_plain_encoding(spark, plain):
     assert tokens.token_index(docs(spark, [])).count() == 0
 
 
-def test_blocks_hold_whole_documents(spark, monkeypatch):
+END = "<|endoftext|>"
+ENDS = [END, f"hello {END} world", f"hello{END}world", f"a {END}", f"{END} b", f" {END}  {END}{END}\n{END}", f"x  {END} y", f"{END}s and '{END}'", "<|endof text|>", f"{END[:-1]}", "words " * 20_000 + END + " more " * 20_000]
+
+
+def test_added_tokens_are_found_as_the_library_finds_them(plain):
+    e = bpe.Encoder(bpe.vocabulary_path())
+    assert plain(f"hello {END} world")[2] == 50256
+    for _ in range(2):
+        assert [np.frombuffer(x, np.uint16).tolist() for x in e(ENDS)] == [plain(t) for t in ENDS]
+
+
+def test_other_vocabularies_are_given_whole_texts():
+    path = bpe.vocabulary_path("word_bpe_49k.json")
+    e, t = bpe.Encoder(path), Tokenizer.from_file(path)
+    assert not e.by_words and bpe.Encoder(bpe.vocabulary_path()).by_words
+    texts = ["Some  Words\nhere", "", "été <|endoftext|> x", "a b c"]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_blocks_hold_whole_documents(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(tokens, "BLOCK_IDS", 50)
-    files, freqs = tokens.store_tokens(docs(spark))
-    assert {r["doc_id"]: r["n_tokens"] for r in tokens.read_blocks(files, freqs).collect()}[8] > 40_000
+    path = str(tmp_path / "tokens")
+    tokens.store_tokens(docs(spark), path)
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.read_blocks(spark, path).collect()}[8] > 40_000
+    assert spark.read.parquet(f"{path}/blocks").count() > 4
+
+
+def test_files_are_read_from_their_path_alone(spark, plain, tmp_path):
+    path = str(tmp_path / "tokens")
+    tokens.token_index(docs(spark), path)
+    code = (
+        "import sys; from pyspark.sql import SparkSession; from tidemill.llm import tokens\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', [(r.doc_id, list(r.ids)) for r in tokens.read_ids(s, sys.argv[1]).orderBy('start').collect() if len(r.ids) < 50])"
+    )
+    out = subprocess.run([sys.executable, "-c", code, path], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[2])
+    got = ast.literal_eval(out.stdout.partition("ROWS ")[2])
+    want = [(i, [*plain(t), 2]) for i, t, *_ in ROWS]
+    assert sorted(got, key=str) == sorted((x for x in want if len(x[1]) < 50), key=str)
+
+
+def test_wrong_tables_are_told(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    tokens.store_tokens(docs(spark), a)
+    tokens.write_table(spark, rans.shared_table(np.ones(50257, np.int64)), b)
+    shutil.copytree(f"{a}/blocks", f"{b}/blocks")
+    with pytest.raises(Exception, match="another frequency table"):
+        tokens.read_blocks(spark, b).collect()
+
+
+def test_one_id_holds_many_rows(spark, monkeypatch):
+    rows = [(None, "the same text", "en", "a", 1)] * 300 + [(1, f"text {i % 7}", "en", "a", 1) for i in range(200)] + [(i, "x", "en", "a", 1) for i in range(2, 30)]
+    got = sorted(tuple(r) for r in tokens.token_index(docs(spark, rows).repartition(6)).select("start", "n_tokens", "doc_id").collect())
+    assert [x[0] for x in got] == np.cumsum([0, *(x[1] for x in got[:-1])]).tolist()
+    assert [x[2] for x in got] == [None] * 300 + [1] * 200 + list(range(2, 30))
 
 
 def test_length_sums(spark, plain):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -37,6 +38,15 @@ def _odd(word: str) -> bool:
     return not word or word[0].isspace() or word[-1].isspace()
 
 
+def _cut_at_spaces(made: dict) -> bool:
+    """Whether a tokenizer (its JSON) gives a text the ids of its words, each behind its space."""
+    model, before = made["model"], made["pre_tokenizer"] or {}
+    bytewise = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    whole = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    alone = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or any(c.isspace() for c in x["content"]) for x in made["added_tokens"])
+    return bool(bytewise and whole and alone and made["truncation"] is None and made["padding"] is None)
+
+
 class Encoder:
     """Ids as little-endian unsigned 16-bit integers (the vocabulary must be smaller than 65,536).
 
@@ -44,7 +54,10 @@ class Encoder:
     each behind its space. Arrow splits texts and numbers their distinct words; these are encoded by the tokenizers
     library, many in one string, which is cut again where the bytes of its ids add up to a word. Words that come again
     in a later call are kept, up to a bound, so that the many words that occur once don't crowd them out. Where white
-    space meets a space, the text is encoded by pieces.
+    space meets a space, the text is encoded by pieces. The vocabulary's added tokens (``<|endoftext|>``) are found in
+    texts as the library finds them by default.
+
+    All this holds for a byte-level vocabulary alone: with any other, texts are handed to the library whole.
     """
 
     def __init__(self, path: str):
@@ -52,14 +65,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         vocab = self.tok.get_vocab()
         if max(vocab.values()) > 65535:
             raise ValueError("the vocabulary has ids beyond 16 bits")
         self.size = max(vocab.values()) + 1
         self.bytes_of = np.zeros(self.size, np.int64)
         for piece, i in vocab.items():
-            self.bytes_of[i] = len(piece)
+            self.bytes_of[i] = len(piece)  # the alphabet has one character for each byte
+        made = json.loads(self.tok.to_str())
+        for x in made["added_tokens"]:
+            self.bytes_of[x["id"]] = len(x["content"].encode())
+        self.by_words = _cut_at_spaces(made)
         self._forget()
 
     def _forget(self) -> None:
@@ -110,9 +126,13 @@ class Encoder:
             texts = texts.cast(pa.string())
         except pa.ArrowInvalid:
             texts = pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
-        parts = [self._some(texts[a:z], end) for a, z in slices(texts)]
+        some = self._some if self.by_words else self._whole
+        parts = [some(texts[a:z], end) for a, z in slices(texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
+    def _whole(self, texts: pa.Array, end: bytes) -> pa.Array:
+        return pa.array([self._ids(t) + end for t in texts.to_pylist()], pa.binary())
+
     def _some(self, texts: pa.Array, end: bytes) -> pa.Array:
         if len(self.words) > WORDS_KEPT:
             self._forget()

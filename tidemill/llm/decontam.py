@@ -9,14 +9,18 @@ item's sketch are verified by exact containment of the shingles themselves.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import mapped
+from .work import mapped, sized_join, written
 
 WORDS, SHARE = 5, 0.8
 BLOCK_SHINGLES = 2_000_000
@@ -107,63 +111,96 @@ class Index:
 
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    """(item_id, text) in blocks of BLOCK_SHINGLES words at most, or of one item."""
-    block, size = [], 0
+    """(item_id, text) in blocks of BLOCK_SHINGLES words at most, or of one item; a single empty one without items."""
+    block, size, any_ = [], 0, False
     for item_id, text in items.select("item_id", F.col("text").cast("binary")).toLocalIterator():
         n = len(words_of(text))
         if block and size + n > BLOCK_SHINGLES:
             yield block
             block, size = [], 0
         block.append((item_id, bytes(text or b"")))
-        size += n
-    yield block
+        size, any_ = size + n, True
+    if block or not any_:
+        yield block
 
 
-def contained_items(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
-    """Rows (doc_id, item_id, n_shingles, n_shared, containment): the items of which a document holds ``share`` or more.
+_built: dict = {}
 
-    Items are read in blocks of BLOCK_SHINGLES words at most (or one item), each of which meets all documents, whole
-    texts, in a pass of its own; what is broadcast stays bounded by the block. Items with fewer words are one shingle
-    of all their words; those without words are in no document. Null texts hold none. Rows of one doc_id or item_id
-    are searched row by row. Other columns aren't read.
-    """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
 
-    def one(block: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+def _index(shared: Broadcast, shared_id: str, words: int, share: float) -> Index:
+    """The index of a broadcast block, built once in each Python worker, which keeps the last one."""
+    if _built.get("of") != (shared_id, words, share):
+        _built.update(of=(shared_id, words, share), index=Index(shared.value, words, share))
+    return _built["index"]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, words, share)
-            for b in batches:
-                rows = [(k, *x) for k, t in zip(b.column("doc_id").to_pylist(), b.column("t")) if t.is_valid for x in index.search(t.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
-        return mapped(texts, run, "doc_id long, item_id long, n_shingles long, n_shared long")
+def _block_matches(docs: DataFrame, shared: Broadcast, words: int, share: float) -> DataFrame:
+    """Rows (doc_id, row, item_id, n_shingles, n_shared) of one block of items; row is a hash of the text."""
+    names, own = ["doc_id", "row", "item_id", "n_shingles", "n_shared"], uuid.uuid4().hex
 
-    out = None
-    for block in item_blocks(items):
-        out = one(block) if out is None else out.unionByName(one(block))
-    return out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(shared, own, words, share)
+        for b in batches:
+            rows = [(k, r, *x) for k, r, t in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("t")) if t.is_valid for x in index.search(t.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
 
+    texts = docs.select("doc_id", F.xxhash64(F.lit(5), "text").alias("row"), F.col("text").cast("binary").alias("t"))
+    return mapped(texts, run, ", ".join(f"{n} long" for n in names))
 
-def keep_clean(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
-    """The rows of documents that contain no item, all columns as they are."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
 
-    def without(rows: DataFrame, block: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+def _matches(docs: DataFrame, items: DataFrame, words: int, share: float) -> DataFrame:
+    """The matches of all blocks. A single block is searched as the result is read; of several, each is searched and
+    its matches are written before the next is sent out, so that one block is alive at a time."""
+    sc = docs.sparkSession.sparkContext
+    blocks = item_blocks(items)
+    first = sc.broadcast(next(blocks))
+    out = _block_matches(docs, first, words, share)
+    second = next(blocks, None)
+    if second is None:
+        return out
+    parts = [written(out)]
+    first.destroy()
+    for block in chain([second], blocks):
+        shared = sc.broadcast(block)
+        parts.append(written(_block_matches(docs, shared, words, share)))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, words, share)
-            for b in batches:
-                yield b.filter(pa.array([not index.search((t.as_py() or "").encode("utf-8", "replace")) for t in b.column(at)], pa.bool_()))
 
-        return mapped(rows, run, rows.schema)
+def contained_items(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
+    """Rows (doc_id, item_id, n_shingles, n_shared, containment): the items of which a document holds ``share`` or more.
 
-    for block in item_blocks(items):
-        docs = without(docs, block)
-    return docs
+    Items are read in blocks of BLOCK_SHINGLES words at most (or one item), each of which meets all documents, whole
+    texts, in a pass of its own; one block at a time is broadcast. Items with fewer words are one shingle of all their
+    words; those that are null or without words are in no document. Null texts hold none. Rows of one doc_id or item_id
+    are searched row by row, and a null id of either stays null. Other columns aren't read.
+    """
+    found = _matches(docs, items, words, share).drop("row")
+    return found.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
+    """The rows of documents that contain no item, all columns as they are.
+
+    Null and empty texts contain none and stay, as do all without items; repeated rows stay or go together. Bytes that
+    are no UTF-8 are read as they are. One block of items is a filter; with more, rows that any block finds are looked
+    up by id and a hash of the text.
+    """
+    blocks = item_blocks(items)
+    block = next(blocks)
+    if next(blocks, None) is not None:
+        id_ = F.coalesce("doc_id", F.lit(-(2**63)))
+        bad = written(_matches(docs, items, words, share).select(id_.alias("_id"), F.col("row").alias("_row")).distinct())
+        rows = docs.select(F.struct("*").alias("_own"), id_.alias("_id"), F.xxhash64(F.lit(5), "text").alias("_row"))
+        return sized_join(rows, bad, ["_id", "_row"], F.monotonically_increasing_id(), "left_anti").select("_own.*")
+    shared, at, own = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text"), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(shared, own, words, share)
+        for b in batches:
+            yield b.filter(pa.array([not index.search(t.as_py() or b"") for t in b.column(at).cast(pa.binary())], pa.bool_()))
+
+    return mapped(docs, run, docs.schema)
 
 
 ORACLE = f"""

@@ -22,6 +22,8 @@ ZIGZAG = np.array(
 MCU_BYTES = 384
 DC_EVERY = 8
 LONGEST_RUN = 32767
+#: An image of more coefficients is read only if its file has half as many bytes.
+MOST_COEFFICIENTS = 1 << 26
 BANDS = ((1, 5), (6, 63))
 
 # The DCT basis times 4096, rounded: products of integers this small are exact in doubles, so equal blocks give equal pixels.
@@ -174,9 +176,22 @@ def _only(table: dict[int, int]) -> tuple[int, int] | None:
 
 
 class Image:
-    """Coefficients of a progressive file: for each component an array of (rows, columns, 64), in zigzag order."""
+    """Coefficients of a progressive file: for each component an array of (rows, columns, 64), in zigzag order.
+
+    Whatever the bytes are, they are read or refused with ``Bad``.
+    """
 
     def __init__(self, data: bytes):
+        try:
+            self._read(data)
+        except (IndexError, KeyError, OverflowError, TypeError, ValueError) as e:
+            raise Bad(f"the file is broken: {e}") from e
+        if not self.comps:
+            raise Bad("there is no frame")
+        if any(c.quant not in self.quants for c in self.comps):
+            raise Bad("a quantization table is missing")
+
+    def _read(self, data: bytes) -> None:
         self.comment, self.width, self.height = b"", 0, 0
         self.comps: list[_Component] = []
         self.quants: dict[int, np.ndarray] = {}
@@ -195,6 +210,8 @@ class Image:
             if marker == 0xD9:
                 break
             size = int.from_bytes(data[at + 2 : at + 4], "big")
+            if size < 2 or at + 2 + size > len(data):
+                raise Bad("a segment ends early")
             body = data[at + 4 : at + 2 + size]
             at += 2 + size
             if marker == 0xFE:
@@ -202,6 +219,8 @@ class Image:
             elif marker == 0xDB:
                 while body:
                     n = 128 if body[0] >> 4 else 64
+                    if len(body) <= n:
+                        raise Bad("a quantization table ends early")
                     self.quants[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if n == 128 else np.uint8).astype(np.int64)
                     body = body[1 + n :]
             elif marker == 0xC4:
@@ -212,7 +231,7 @@ class Image:
             elif marker == 0xDD:
                 self.every = int.from_bytes(body[:2], "big")
             elif marker == 0xC2:
-                self._frame(body)
+                self._frame(body, len(data))
             elif marker == 0xDA:
                 end = self._scan_end(data, at)
                 self._scan(body, data[at:end])
@@ -230,25 +249,40 @@ class Image:
                 return at
             at += 2
 
-    def _frame(self, body: bytes) -> None:
+    def _frame(self, body: bytes, n_bytes: int) -> None:
+        if self.comps:
+            raise Bad("there is a second frame")
         if body[0] != 8:
             raise Bad("samples are not of 8 bits")
         self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
         for i in range(body[5]):
             name, factors, quant = body[6 + 3 * i : 9 + 3 * i]
             self.comps.append(_Component(name, factors >> 4, factors & 15, quant))
+        names = {c.name for c in self.comps}
+        if not self.height or not self.width or not 1 <= len(self.comps) <= 4 or len(names) < len(self.comps):
+            raise Bad("the frame has no size, or no right components")
+        if any(x not in (1, 2) for c in self.comps for x in (c.across, c.down)):
+            raise Bad("sampling factors are not 1 or 2")
         self.most_across, self.most_down = max(c.across for c in self.comps), max(c.down for c in self.comps)
         self.mcu_cols, self.mcu_rows = -(-self.width // (8 * self.most_across)), -(-self.height // (8 * self.most_down))
         for c in self.comps:
-            c.coefs = np.zeros((self.mcu_rows * c.down, self.mcu_cols * c.across, 64), np.int16)
             c.rows = -(-(-(-self.height * c.down // self.most_down)) // 8)
             c.cols = -(-(-(-self.width * c.across // self.most_across)) // 8)
+        blocks = sum(self.mcu_rows * c.down * self.mcu_cols * c.across for c in self.comps)
+        # every block takes a bit of the first scan at least
+        if sum(c.rows * c.cols for c in self.comps) > 8 * n_bytes or 64 * blocks > max(MOST_COEFFICIENTS, 2 * n_bytes):
+            raise Bad("the image is larger than its file can hold")
+        for c in self.comps:
+            c.coefs = np.zeros((self.mcu_rows * c.down, self.mcu_cols * c.across, 64), np.int16)
 
     def _scan(self, head: bytes, data: bytes) -> None:
         n = head[0]
-        comps = [(next(c for c in self.comps if c.name == head[1 + 2 * i]), head[2 + 2 * i]) for i in range(n)]
+        named = {c.name: c for c in self.comps}
+        comps = [(named[head[1 + 2 * i]], head[2 + 2 * i]) for i in range(n)]
         first, last, approx = head[1 + 2 * n : 4 + 2 * n]
         before, low = approx >> 4, approx & 15
+        if not 1 <= n <= 4 or not first <= last <= 63 or (first and n > 1) or (not first and last) or low > 13:
+            raise Bad("a scan has no such band")
         if n == 1 and self._array_scan(comps[0][0], self.tables.get(comps[0][1] >> 4, {}) if not first else self.tables.get(0x10 | comps[0][1] & 15, {}), data, first, last, before, low):
             return
         parts = [data]
@@ -433,9 +467,12 @@ def _unstuffed(a: np.ndarray) -> np.ndarray:
     return np.delete(a, drop) if len(drop) else a
 
 
-def load(image: Image) -> bytes:
-    """The bytes that ``store`` put into a file."""
-    want = dict(x.split(b"=") for x in image.comment.split(b";"))
+def load(image: Image) -> tuple[bytes, int]:
+    """The bytes that ``store`` put into a file, and how many of them are text."""
+    want = dict(x.partition(b"=")[::2] for x in image.comment.split(b";"))
+    size, text = want.get(b"payload", b""), want.get(b"text", b"")
+    if not (size.isdigit() and text.isdigit() and len(size) < 19 and len(text) < 19 and len(image.comps) == 3):
+        raise Bad("the comment does not tell the payload")
     parts = []
     for c in image.comps:
         v = c.coefs.reshape(-1, 64)
@@ -445,4 +482,7 @@ def load(image: Image) -> bytes:
         diff[::DC_EVERY] = dc[::DC_EVERY]
         out[:, 0] = diff + 255 * (diff < 0)
         parts.append(out.astype(np.uint8).ravel())
-    return np.concatenate(parts)[: int(want[b"payload"])].tobytes()
+    found = np.concatenate(parts)
+    if not int(text) <= int(size) <= len(found):
+        raise Bad("the payload is longer than the image")
+    return found[: int(size)].tobytes(), int(text)

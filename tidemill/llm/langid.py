@@ -1,4 +1,4 @@
-"""Language ID: a family first, then one-versus-one linear support vector machines between its languages."""
+"""Language ID: a family first, each against the others, then one-versus-one linear support vector machines between its languages."""
 
 from __future__ import annotations
 
@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grams import ngrams, pieces
-from .work import mapped
+from .work import mapped, written
 
 UNDETERMINED = "und"
 ORDERS, BITS = (1, 2, 3), 14
-PER_LANG, MOST_ROWS = 300, 9600
+#: Bounds of the labelled rows to learn from.
+PER_LANG, MOST_ROWS, MOST_BYTES = 300, 9600, 64 << 20
 FOLDS, HELD_FOLD = 5, 0
 # Families of languages by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -65,58 +66,86 @@ def held_out(key: Column, folds: int = FOLDS, fold: int = HELD_FOLD) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(True))
 
 
+def _with_bias(x: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.append(at, 1 << BITS).astype(np.int32), np.append(values, 1).astype(np.float32)) for at, values in x]
+
+
+def costs(y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """What a row's loss weighs: both classes weigh the same together."""
+    return np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * penalty * 10
+
+
 def train_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, penalty: float = 1.0, rounds: int = 15) -> np.ndarray:
-    """Weights (the last is the bias) of a linear support vector machine, by dual coordinate descent; x has (buckets, values), y is 1 or -1."""
-    one = np.ones(1, np.float32)
-    x = [(np.append(at, 1 << BITS), np.concatenate([values.astype(np.float32), one])) for at, values in x]
+    """Weights (the last is the bias) of a linear support vector machine, by dual coordinate descent.
+
+    x has (buckets, values) with the bias as a last value of 1, y is 1 or -1. It minimizes |w|^2 / 2 + sum of each row's
+    cost times max(0, 1 - y w x).
+    """
     square = [float(values @ values) for _, values in x]
-    weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * penalty * 10
-    y, weight = y.tolist(), weight.tolist()
+    most = costs(y, penalty).tolist()
+    y = y.tolist()
     alpha, w = [0.0] * len(y), np.zeros((1 << BITS) + 1, np.float32)
     order = np.random.default_rng(5)
     for _ in range(rounds):
-        most = 0.0
+        step = 0.0
         for i in order.permutation(len(y)):
             at, values = x[i]
             gradient = y[i] * float(values @ w[at]) - 1
-            new = min(max(alpha[i] - gradient / square[i], 0.0), weight[i])
+            new = min(max(alpha[i] - gradient / square[i], 0.0), most[i])
             if new != alpha[i]:
-                most = max(most, abs(new - alpha[i]))
+                step = max(step, abs(new - alpha[i]))
                 w[at] += np.float32((new - alpha[i]) * y[i]) * values
                 alpha[i] = new
-        if most < 1e-4:
+        if step < 1e-4:
             break
     return w
 
 
+def _logistic(margin: float) -> float:
+    return float(1 / (1 + np.exp(-3 * margin)))
+
+
 class Model:
-    """Machines between families and, within each, between languages; every one votes with a logistic margin."""
+    """A machine for each family against the others, and within each family one for each pair of its languages.
+
+    The family of the greatest margin is taken; its languages' machines vote, and the sums of their logistic margins
+    settle ties. With two families, one machine tells them apart.
+    """
 
     def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
-        names = sorted(set(langs))
+        x = _with_bias(x)
         self.families: dict[str, list[str]] = {}
-        for lang in names:
+        for lang in sorted(set(langs)):
             self.families.setdefault(family_of(lang), []).append(lang)
-        of = np.array(langs)
-        family = np.array([family_of(v) for v in langs])
-        self.pairs: list[tuple[str, str, str]] = []
+        self.names = sorted(self.families)
+        of, family = np.array(langs), np.array([family_of(v) for v in langs])
         weights = []
-        for group, labels, choices in [("", family, sorted(self.families)), *((f, of, own) for f, own in sorted(self.families.items()))]:
-            for a, b in combinations(choices, 2):
-                rows = np.flatnonzero((labels == a) | (labels == b))
-                weights.append(train_svm([x[i] for i in rows], np.where(labels[rows] == a, 1.0, -1.0)))
-                self.pairs.append((group, a, b))
+        for f in self.names[: 1 if len(self.names) == 2 else None] if len(self.names) > 1 else []:
+            weights.append(train_svm(x, np.where(family == f, 1.0, -1.0)))
+        self.pairs: dict[str, list[tuple[int, str, str]]] = {}
+        for f in self.names:
+            for a, b in combinations(self.families[f], 2):
+                rows = np.flatnonzero((of == a) | (of == b))
+                self.pairs.setdefault(f, []).append((len(weights), a, b))
+                weights.append(train_svm([x[i] for i in rows], np.where(of[rows] == a, 1.0, -1.0)))
         self.weights = np.ascontiguousarray(np.array(weights, np.float32).T) if weights else np.zeros(((1 << BITS) + 1, 0), np.float32)
 
-    def _choose(self, group: str, choices: list[str], margins: np.ndarray) -> tuple[str, float]:
+    def _family(self, margins: np.ndarray) -> tuple[str, float]:
+        if len(self.names) < 3:
+            best = 0 if len(self.names) == 1 or margins[0] > 0 else 1
+            return self.names[best], _logistic(abs(margins[0])) if len(self.names) == 2 else 1.0
+        best = int(np.argmax(margins[: len(self.names)]))
+        return self.names[best], _logistic(margins[best])
+
+    def _language(self, family: str, margins: np.ndarray) -> tuple[str, float]:
+        choices = self.families[family]
         if len(choices) == 1:
             return choices[0], 1.0
-        share = {c: [] for c in choices}
-        for (g, a, b), m in zip(self.pairs, margins):
-            if g == group and a in share and b in share:
-                p = 1 / (1 + np.exp(-3 * float(m)))
-                share[a].append(p)
-                share[b].append(1 - p)
+        share: dict[str, list[float]] = {c: [] for c in choices}
+        for i, a, b in self.pairs[family]:
+            p = _logistic(margins[i])
+            share[a].append(p)
+            share[b].append(1 - p)
         votes = {c: (sum(p > 0.5 for p in v), sum(v) / len(v)) for c, v in share.items()}
         best = max(choices, key=lambda c: votes[c])
         return best, votes[best][1]
@@ -126,13 +155,13 @@ class Model:
             return UNDETERMINED, 0.0
         at, values = profile(text)
         margins = values @ self.weights[at] + self.weights[-1]
-        family, p = self._choose("", sorted(self.families), margins)
-        lang, q = self._choose(family, self.families[family], margins)
+        family, p = self._family(margins)
+        lang, q = self._language(family, margins)
         return lang, round(min(1.0, max(0.0, p * q)), 6)
 
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS) -> DataFrame:
-    """Rows (lang, at, x) of at most about per_lang documents of every language, picked by hash of the document id, and at least one.
+    """Rows (lang, u, at, x) of at most about per_lang documents of every language, picked by hash of the document id, and at least one.
 
     Where that would be more than most_rows in all, every language gets an equal share of them.
     """
@@ -140,23 +169,49 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MO
     x = x.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     counts = [(r[0], r[1], r[2]) for r in x.groupBy("lang").agg(F.count(F.lit(1)), F.min("u")).collect()]
     if not counts:
-        return x.limit(0).select("lang", F.lit(b"").alias("at"), F.lit(b"").alias("x"))
+        return x.limit(0).select("lang", "u", F.lit(b"").alias("at"), F.lit(b"").alias("x"))
     most = min(per_lang, most_rows / len(counts))
     limits = docs.sparkSession.createDataFrame([(lang, max(least + 1, int(np.ceil(min(1.0, most / n) * (1 << 30))))) for lang, n, least in counts], "lang string, below long")
-    some = x.join(F.broadcast(limits), "lang").filter("u < below").select("lang", F.col("text").cast("binary").alias("t"))
+    some = x.join(F.broadcast(limits), "lang").filter("u < below").select("lang", "u", F.col("text").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [profile(t.as_py().decode("utf-8", "replace")) for t in b.column("t")]
             at, values = ([v[i].astype(kind).tobytes() for v in found] for i, kind in enumerate((np.int32, np.float16)))
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["lang", "at", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("u"), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["lang", "u", "at", "x"])
+
+    return mapped(some, run, "lang string, u long, at binary, x binary")
 
-    return mapped(some, run, "lang string, at binary, x binary")
 
+def within_bytes(sizes: list[tuple], most: int) -> dict:
+    """For each group the greatest u of the rows to take, from rows (group, u, bytes).
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fits on a sample of whole texts of all languages, bounded by MOST_ROWS documents or one of each language."""
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in training_rows(docs, per_lang).collect())
+    Every group gets its first row; then rows are taken in the order of their place in their group while all together
+    have ``most`` bytes.
+    """
+    own: dict = {}
+    for group, u, n in sorted(sizes):
+        own.setdefault(group, []).append((u, n))
+    queue = sorted((place, group, u, n) for group, rows in own.items() for place, (u, n) in enumerate(rows))
+    taken, total, closed = {}, 0, set()
+    for place, group, u, n in queue:
+        if place and (group in closed or total + n > most):
+            closed.add(group)
+            continue
+        total += n
+        taken[group] = u
+    return taken
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG, most_bytes: int = MOST_BYTES) -> Model:
+    """Fits on a sample of whole texts of all languages, bounded by MOST_ROWS documents and most_bytes of their profiles, or one of each language."""
+    found = written(training_rows(docs, per_lang))
+    sizes = found.select("lang", "u", F.octet_length("at") + F.octet_length("x")).collect()
+    taken = within_bytes([tuple(r) for r in sizes], most_bytes)
+    if not taken:
+        return Model([], [])
+    upto = docs.sparkSession.createDataFrame(list(taken.items()), "lang string, upto long")
+    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in found.join(F.broadcast(upto), "lang").filter("u <= upto").select("lang", "at", "x").toLocalIterator())
     return Model([(np.frombuffer(at, np.int32), np.frombuffer(v, np.float16)) for _, at, v in rows], [r[0] for r in rows])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import ascii_lower, salted_join, width, written
+from .work import ascii_lower, skew_join, width, written
 
 BLANKS = " \t\n\x0b\f\r"
 NO_ID = -(2**63)
@@ -34,7 +34,7 @@ def line_hashes(docs: DataFrame, min_length: int) -> DataFrame:
 
 
 def shared_lines(hashes: DataFrame, min_docs: int) -> DataFrame:
-    """Rows (h1, h2, keeper) of keys in at least min_docs documents; keeper is the largest doc.
+    """Rows (h1, h2, n, keeper) of keys in at least min_docs documents; n is the number of their lines, keeper the largest doc.
 
     Ranges of (hash, doc) deal the rows, so a hot line spreads over many partitions; each streams, in the order of
     hash, document and position, the first occurrence in each document. These are counted before they are shuffled by
@@ -42,8 +42,8 @@ def shared_lines(hashes: DataFrame, min_docs: int) -> DataFrame:
     """
     dealt = hashes.select("h1", "h2", "doc", "pos").repartitionByRange(width(hashes.sparkSession), "h1", "h2", "doc")
     order = Window.partitionBy("h1", "h2", "doc").orderBy("pos")
-    first = dealt.withColumn("n", F.row_number().over(order)).filter("n = 1")
-    return first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+    first = dealt.withColumn("at", F.row_number().over(order)).groupBy("h1", "h2").agg(F.count(F.when(F.col("at") == 1, 1)).alias("docs"), F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
+    return first.filter(F.col("docs") >= min_docs).drop("docs")
 
 
 def keep_bitmaps(docs: DataFrame, min_length: int = 20, min_docs: int = 3) -> DataFrame:
@@ -53,7 +53,8 @@ def keep_bitmaps(docs: DataFrame, min_length: int = 20, min_docs: int = 3) -> Da
     the document's lines run by run, each run of dropped lines as two big-endian 32-bit integers.
     """
     hashes = written(line_hashes(docs, min_length))
-    gone = salted_join(hashes, shared_lines(hashes, min_docs), ["h1", "h2"], F.col("doc")).filter("doc <> keeper").select("doc", "row", "pos")
+    shared = written(shared_lines(hashes, min_docs))
+    gone = skew_join(hashes, shared, ["h1", "h2"], "n", hashes.count()).filter("doc <> keeper").select("doc", "row", "pos")
     at = gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     starts = F.expr("filter(p, (x, i) -> i = 0 OR x - p[i - 1] > 1)")
     ends = F.expr("filter(p, (x, i) -> i = size(p) - 1 OR p[i + 1] - x > 1)")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .work import mapped
+from .work import mapped, scratch, written
 
 UNIT = 576
 STRIPE = 64
@@ -54,8 +54,17 @@ def _decoded(file: bytes | None, tensor: bool) -> dict:
     out = {"media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest()}
     try:
         image = jpeg.Image(file)
-    except (jpeg.Bad, KeyError, IndexError, StopIteration, ValueError):
+        found = _pixels(image, tensor)
+        if image.comment.startswith(b"payload="):
+            p, n = jpeg.load(image)
+            found |= {"payload": p if tensor else None, "n_bytes": n, "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-32:])}
+    except jpeg.Bad:
         return out
+    return out | found
+
+
+def _pixels(image: jpeg.Image, tensor: bool) -> dict:
+    """Size, tensor and feature, computed a stripe of the image at a time."""
     sums, crc, parts = [0, 0, 0], 0, []
     step = max(1, STRIPE * 64 // max(1, image.mcu_cols))
     for top in range(0, image.mcu_rows, step):
@@ -64,11 +73,7 @@ def _decoded(file: bytes | None, tensor: bool) -> dict:
         crc = zlib.crc32(pixels, crc)
         if tensor:
             parts.append(pixels.tobytes())
-    out |= {"height": image.height, "width": image.width, "rgb": b"".join(parts) if tensor else None, "feature": f"{image.height}x{image.width};{sums[0]};{sums[1]};{sums[2]};{crc:08x}"}
-    if image.comment.startswith(b"payload="):
-        p = jpeg.load(image)
-        out |= {"payload": p if tensor else None, "n_bytes": int(image.comment.rpartition(b"=")[2]), "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-32:])}
-    return out
+    return {"height": image.height, "width": image.width, "rgb": b"".join(parts) if tensor else None, "feature": f"{image.height}x{image.width};{sums[0]};{sums[1]};{sums[2]};{crc:08x}"}
 
 
 def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media", tensor: bool = True) -> DataFrame:
@@ -77,7 +82,8 @@ def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media", tenso
     rgb holds height x width x 3 bytes at full resolution, chroma upsampled; with ``tensor=False`` rgb and payload are
     null and only what is computed from them is returned. feature names the size, the sums of the channels and a
     checksum of the pixels. The payload's columns are null for files that ``encode_media`` did not write. A null file
-    gives nulls, a broken one only media_bytes and media_sha256.
+    gives nulls; a broken one, and one with more coefficients than its bytes can hold or than jpeg.MOST_COEFFICIENTS
+    and its size allow, only media_bytes and media_sha256. Repeated rows and null keys give a row each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,5 +98,19 @@ def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media", tenso
 
 
 def payload_digests(docs: DataFrame) -> DataFrame:
-    """The digests of every document's text as it is read back from its file."""
-    return decode_media(encode_media(docs), tensor=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """The digests of every document's text: its file is stored in the shared folder and read back from there."""
+    stored = written(encode_media(docs))
+    return decode_media(stored, tensor=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def store_tensors(df: DataFrame, path: str, key: str = "doc_id", media: str = "media") -> None:
+    """Writes rows (key, height, width, rgb) of files in a binary column under ``path``: the decoded image at full resolution, three bytes a pixel."""
+    decode_media(df, key, media).select(key, "height", "width", "rgb").write.option("compression", "zstd").parquet(path)
+
+
+def tensor_digests(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, height, width, rgb_bytes, rgb_sha256) of every document's image, from RGB tensors that were stored and read back."""
+    path = f"{scratch(docs.sparkSession)}/t"
+    store_tensors(written(encode_media(docs)), path)
+    rgb = docs.sparkSession.read.parquet(path)
+    return rgb.select("doc_id", "height", "width", F.octet_length("rgb").cast("long").alias("rgb_bytes"), F.sha2("rgb", 256).alias("rgb_sha256"))

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import mapped, width, written
+from .work import mapped, sized_join, skew_join, width, written
 
 WEIGHTS, MOST_COPIES, GROUP_ROWS, FANOUT, SEED = (5, 2, 1), 3, 1_000, 64, 11
-ROW = "doc_id long, row long, size long, source_size long, target double, sid int, bucket long, h long, whole int, x double"
+ROW = "doc_id long, row long, times long, size long, source_size long, target double, sid int, bucket long, h long, whole int, sure long, x double"
+#: Copies of a row that one task lists.
+LISTED = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -21,14 +23,14 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """Rows (sid, source, n_docs, source_size, target) from rows (source, size).
+    """Rows (sid, source, n_rows, source_size, target) from rows (source, size, times).
 
     Sources by code point, null last, weigh ``weights`` in turn and share all sizes; none gets over ``most`` times its
     own, and what it can't take is shared by the others by weight. With sources ordered by cap over weight, the level at
     which none is above its cap is the largest of (all - caps before) / (weights from here on). Sizes are summed before
     the shuffle; the windows run over one row for each source.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    s = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     sid = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     s = s.withColumn("sid", sid.cast("int")).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("sid"), F.lit(len(weights))) + 1))
     cap = F.col("source_size") * most
@@ -37,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     zero = F.lit(0).cast("long")
     s = s.withColumns({"caps": F.coalesce(F.sum(cap).over(before), zero), "ws": F.coalesce(F.sum("w").over(before), zero), "all": F.sum("source_size").over(everything), "all_w": F.sum("w").over(everything)})
     s = s.withColumn("level", F.max((F.col("all") - F.col("caps")) / (F.col("all_w") - F.col("ws"))).over(everything))
-    return s.select("sid", "source", "n_docs", "source_size", F.least(cap.cast("double"), F.col("level") * F.col("w")).alias("target"))
+    return s.select("sid", "source", "n_rows", "source_size", F.least(cap.cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
 def _mixed(h: int, salt: int) -> float:
@@ -145,28 +147,27 @@ def _settle(rows: DataFrame, last: bool, level: int, n: int) -> DataFrame:
     return mapped(dealt, run, ROW)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Rows (doc_id, row, size, source_size, target, copies), one for each row of documents; row tells rows of one id apart.
+def _row() -> Column:
+    """Tells rows of one id apart by text and source."""
+    return F.xxhash64(F.lit(5), "text", "source")
 
-    A document of its source's share p = target / source_size gets floor(p) copies and one more with probability
-    p - floor(p), by pivotal rounding: within groups of about ``group_rows`` documents of one source, picked by hash,
-    then among the groups' residuals, FANOUT groups at a time, up to one residual for each source, which is rounded.
-    So a source's words differ from its target by half a document at most, by a few words if it is one group, and a
-    large source is many groups.
-    Reruns agree, however rows are dealt. Null or blank texts have size 0 and no copies; a null source is a source.
-    """
+
+def _settled(docs: DataFrame, weights: tuple[int, ...], most: int, group_rows: int) -> DataFrame:
+    """Rows (doc_id, row, times, size, source_size, target, whole, extra): rows that are the same in all this, ``times`` of
+    them, get ``whole`` copies each and ``extra`` of them one more."""
     spark = docs.sparkSession
-    row = F.xxhash64(F.lit(5), "text")
-    sizes = written(docs.select("doc_id", "source", row.alias("row"), n_words(F.col("text")).alias("size")))
+    sizes = docs.select("doc_id", "source", _row().alias("row"), n_words(F.col("text")).alias("size"))
+    sizes = written(sizes.groupBy("doc_id", "source", "row", "size").agg(F.count(F.lit(1)).alias("times")))
     targets = written(source_targets(sizes, weights, most))
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(p + 1e-12), F.lit(most)).cast("int")
     h = F.xxhash64(F.lit(SEED), "doc_id", "row", "size")
-    x = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", "row", "size", "source_size", "target", "sid", F.pmod(h, F.ceil(F.col("n_docs") / group_rows)).cast("long").alias("bucket"), h.alias("h"),
-        whole.alias("whole"), F.greatest(F.lit(0.0), p - whole).alias("x"),
-    )
-    groups = targets.agg(F.max(F.ceil(F.col("n_docs") / group_rows))).head()[0] or 1
+    named = lambda df: df.withColumns({"_s": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()}).drop("source")
+    groups_of = F.ceil(F.col("n_rows") / group_rows)
+    x = skew_join(named(sizes), named(targets).withColumns({"groups": groups_of}), ["_s", "_null"], "n_rows", sizes.count())
+    open_ = F.greatest(F.lit(0.0), p - whole) * F.col("times")
+    x = x.select("doc_id", "row", "times", "size", "source_size", "target", "sid", F.pmod(h, F.col("groups")).cast("long").alias("bucket"), h.alias("h"), whole.alias("whole"), F.floor(open_).alias("sure"), (open_ - F.floor(open_)).alias("x"))
+    groups = targets.agg(F.max(groups_of)).head()[0] or 1
     done, level = None, 0
     while True:
         last = groups <= 1
@@ -178,7 +179,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
             break
         x = settled.filter("x > 0 AND x < 1").withColumn("bucket", F.expr(f"bucket div {FANOUT}"))
         groups, level = -(-groups // FANOUT), level + 1
-    return done.select("doc_id", "row", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("int")).alias("copies"))
+    return done.select("doc_id", "row", "times", "size", "source_size", "target", "whole", (F.col("sure") + F.col("x").cast("long")).alias("extra"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows (doc_id, row, size, source_size, target, copies), one for each row of documents; row tells rows of one id apart.
+
+    A document of its source's share p = target / source_size gets floor(p) copies and one more with probability
+    p - floor(p), by pivotal rounding: within groups of about ``group_rows`` documents of one source, picked by hash,
+    then among the groups' residuals, FANOUT groups at a time, up to one residual for each source, which is rounded.
+    So a source's words differ from its target by half a document at most, by a few words if it is one group, and a
+    large source is many groups. Rows with one id, text and source meet as one, whose copies they share.
+    Reruns agree, however rows are dealt. Null or blank texts have size 0 and no copies; a null source is a source.
+    """
+    found = _settled(docs, weights, most, group_rows)
+    upto = lambda last: F.sequence(F.lit(0).cast("long"), last)
+    few = found.filter(F.col("times") <= LISTED).select("*", F.explode(upto(F.col("times") - 1)).alias("i"))
+    parts = found.filter(F.col("times") > LISTED).select("*", F.explode(upto(F.expr(f"(times - 1) div {LISTED}"))).alias("part")).repartition(width(docs.sparkSession))
+    many = parts.select("*", F.explode(upto(F.least(F.lit(LISTED - 1).cast("long"), F.col("times") - 1 - F.col("part") * LISTED))).alias("j"))
+    each = few.unionByName(many.withColumn("i", F.col("part") * LISTED + F.col("j")).drop("part", "j"))
+    return each.select("doc_id", "row", "size", "source_size", "target", (F.col("whole") + (F.col("i") < F.col("extra")).cast("int")).alias("copies"))
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
@@ -186,8 +206,21 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of documents, each as often as the mix takes it. Rows of one doc_id and text are one, with the sum of their copies."""
+    """The rows of documents, each as often as the mix takes it; columns of any name stay as they are.
+
+    Rows of one id, text and source are one row, taken as often as all of them. An empty table stays empty.
+    """
     no_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    copies = mix(docs).groupBy(no_id.alias("_doc"), F.col("row").alias("_row")).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    x = docs.withColumns({"_doc": no_id, "_row": F.xxhash64(F.lit(5), "text")}).join(copies, ["_doc", "_row"]).dropDuplicates(["_doc", "_row"])
-    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    copies = written(
+        _settled(docs, WEIGHTS, MOST_COPIES, GROUP_ROWS).groupBy(no_id.alias("_id"), F.col("row").alias("_row")).agg(F.sum(F.col("times") * F.col("whole") + F.col("extra")).alias("_copies"), F.sum("times").alias("_times"))
+    )
+    x = docs.select(F.struct("*").alias("_own"), no_id.alias("_id"), _row().alias("_row"))
+    again = copies.filter("_times > 1").select("_id", "_row")
+    out = x.join(copies.filter("_times = 1 AND _copies > 0"), ["_id", "_row"])
+    if not again.isEmpty():
+        apart = sized_join(x, again, ["_id", "_row"], F.monotonically_increasing_id(), "left_anti")
+        one = sized_join(x, again, ["_id", "_row"], F.monotonically_increasing_id(), "left_semi").dropDuplicates(["_id", "_row"])
+        out = apart.join(copies.filter("_times = 1 AND _copies > 0"), ["_id", "_row"]).unionByName(one.join(copies.filter("_times > 1 AND _copies > 0"), ["_id", "_row"]))
+    last = lambda part: F.least(F.lit(LISTED).cast("long"), F.col("_copies") - part * LISTED)
+    parts = out.select("_own", "_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {LISTED}"))).alias("_part"))
+    return parts.select("_own", F.explode(F.sequence(F.lit(1).cast("long"), last(F.col("_part")))).alias("_copy")).select("_own.*")

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grams import ngrams, pieces, words
-from .langid import held_out
-from .work import mapped
+from .langid import held_out, within_bytes
+from .work import mapped, written
 
 BITS, SIZE, ORDERS, BACK = 16, 8, (2, 3, 4), 4
-SAMPLE, EPOCHS, RATE = 3000, 12, 0.3
+EPOCHS, RATE = 12, 0.3
+#: Bounds of the labelled rows to learn from.
+SAMPLE, MOST_BYTES = 3000, 64 << 20
 FOLDS, HELD_FOLD, THRESHOLD = 4, 2, 0.7
 
 
@@ -53,33 +55,39 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.uint16), (counts[at] / counts.sum()).astype(np.float32)
 
 
+def learn(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, output, bias): softmax(share @ vectors[buckets] @ output + bias) are the probabilities of both labels."""
+    rng = np.random.default_rng(17)
+    vectors = rng.uniform(-1 / SIZE, 1 / SIZE, (1 << BITS, SIZE)).astype(np.float32)
+    output, bias = np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32)
+    n = max(1, len(labels))
+    steps, done = max(1, epochs * n), 0
+    for _ in range(epochs if len(set(labels)) > 1 else 0):
+        for i in rng.permutation(n):
+            at, share = bags[i]
+            own = vectors[at]
+            hidden = share @ own
+            z = hidden @ output + bias
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[labels[i]] -= 1
+            step = np.float32(rate * (1 - done / steps))
+            back = output @ p
+            output -= step * np.outer(hidden, p)
+            bias -= step * np.float32(0.1) * p
+            # shares are small: the vectors' steps are scaled up by the number of buckets
+            vectors[at] = own - step * np.outer(share * np.float32(len(at) ** 0.5), back)
+            done += 1
+    if len(set(labels)) == 1:
+        bias[labels[0]] = 2.0
+    return vectors, output, bias
+
+
 class Model:
     """score(text): the probability of label 1."""
 
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE):
-        rng = np.random.default_rng(17)
-        vectors = rng.uniform(-1 / SIZE, 1 / SIZE, (1 << BITS, SIZE)).astype(np.float32)
-        output, bias = np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32)
-        n = max(1, len(labels))
-        steps, done = max(1, epochs * n), 0
-        for _ in range(epochs if len(set(labels)) > 1 else 0):
-            for i in rng.permutation(n):
-                at, share = bags[i]
-                own = vectors[at]
-                hidden = share @ own
-                z = hidden @ output + bias
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                p[labels[i]] -= 1
-                step = np.float32(rate * (1 - done / steps))
-                back = output @ p
-                output -= step * np.outer(hidden, p)
-                bias -= step * np.float32(0.1) * p
-                # shares are small: the vectors' steps are scaled up by the number of buckets
-                vectors[at] = own - step * np.outer(share * np.float32(len(at) ** 0.5), back)
-                done += 1
-        if len(set(labels)) == 1:
-            bias[labels[0]] = 2.0
+        vectors, output, bias = learn(bags, labels, epochs, rate)
         # As the output is linear in the average, one number for each bucket gives the score.
         self.log_odds = (vectors @ (output[:, 1] - output[:, 0])).astype(np.float64)
         self.bias = float(bias[1] - bias[0])
@@ -93,7 +101,7 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows (quality, at, share) of about ``sample`` labelled documents outside the held-out fold at most, picked by hash.
+    """Rows (doc_id, quality, at, share) of about ``sample`` labelled documents outside the held-out fold at most, picked by hash.
 
     A document with several labels counts with the largest; null labels don't count.
     """
@@ -115,9 +123,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return mapped(x, run, "doc_id long, quality int, at binary, share binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on a sample of whole labelled texts bounded by ``sample`` documents, each of 2^BITS buckets at most."""
-    rows = sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in training_rows(docs, labels, sample).toLocalIterator()), key=lambda r: r[0])
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> Model:
+    """Fits on a sample of whole labelled texts, bounded by ``sample`` documents and most_bytes of their bags, or one of each label."""
+    found = written(training_rows(docs, labels, sample))
+    u = F.xxhash64(F.lit(29), "doc_id")
+    sizes = found.select("quality", u, F.octet_length("at") + F.octet_length("share")).collect()
+    taken = within_bytes([tuple(r) for r in sizes], most_bytes)
+    if not taken:
+        return Model([], [])
+    upto = docs.sparkSession.createDataFrame(list(taken.items()), "quality int, upto long")
+    some = found.join(F.broadcast(upto), "quality").filter(u <= F.col("upto")).select("doc_id", "quality", "at", "share")
+    rows = sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in some.toLocalIterator()), key=lambda r: r[0])
     bags = [(np.frombuffer(a, np.uint16), np.frombuffer(s, np.float16).astype(np.float32)) for _, _, a, s in rows]
     return Model(bags, [int(r[1]) for r in rows])
 
@@ -140,13 +156,17 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of documents whose text scores ``threshold`` or more, all columns as they are."""
+    """The rows of documents whose text scores ``threshold`` or more, all columns as they are.
+
+    Null and empty texts are scored by the text's end alone; bytes that are no UTF-8 are read as they are. Repeated rows
+    stay or go together, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield b.filter(pa.array([m.score((t.as_py() or "").encode("utf-8", "replace")) >= threshold for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([m.score(t.as_py() or b"") >= threshold for t in b.column(at).cast(pa.binary())], pa.bool_()))
 
     return mapped(docs, run, docs.schema)

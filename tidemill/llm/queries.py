@@ -50,6 +50,16 @@ def op10_benchmark_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def rgb_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tensors of op1's images, stored and read back."""
+    return media.tensor_digests(table(spark, sf_dir, "documents"))
+
+
+def linked_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's ranks where hosts link to each other, as the pages of the tables don't: by links derived from page numbers."""
+    return linkrank.linked_hosts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_media_jpeg": op1_media_jpeg,
     "op2_token_rans": op2_token_rans,
@@ -61,5 +71,7 @@ QUERIES = {
     "op8_mix_pivotal": op8_mix_pivotal,
     "op9_token_histogram": op9_token_histogram,
     "op10_benchmark_minhash": op10_benchmark_minhash,
+    "rgb_tensors": rgb_tensors,
+    "linked_hosts": linked_hosts,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op5_url_links": linkrank.oracle(), "op10_benchmark_minhash": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op5_url_links": linkrank.oracle(), "op10_benchmark_minhash": decontam.ORACLE, "linked_hosts": linkrank.linked_oracle()}

@@ -7,55 +7,28 @@ differs in no more bits than that agrees on the whole mask of some table (Pagh,
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stars import components, forest
-from .work import checkpointed, mapped, width, written
+from .shingles import bit_counts, majority, shingle_hashes
+from .stars import components
+from .work import checkpointed, mapped, skew_join, width, written
 
 RADIUS = 4
 HOT_GROUP = 32768
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-CHUNK = 65536
-
-
-def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
-    """XXH64 with seed 42 of the shingles of a text, repeats included, CHUNK at a time."""
-    import xxhash
-
-    w = text.translate(LOWER).split()
-    if not w:
-        return
-    joined = b" ".join(w)
-    if len(w) < words:
-        yield np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-        return
-    sizes = np.fromiter(map(len, w), np.int64, len(w))
-    ends = np.cumsum(sizes + 1) - 1
-    starts, ends = ends - sizes, ends[words - 1 :]
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(ends), CHUNK):
-        pairs = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())
-        n = min(CHUNK, len(ends) - at)
-        yield np.fromiter((digest(joined[a:z], 42) for a, z in pairs), np.uint64, n)
-
-
-def _bit_counts(h: np.ndarray) -> np.ndarray:
-    return np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
     """The 64-bit SimHash of a text: a bit is 1 if it is set in over half the shingles' hashes; 0 without words."""
     ones, n = np.zeros(64, np.int64), 0
     for h in shingle_hashes(text, words):
-        ones += _bit_counts(h)
+        ones += bit_counts(h)
         n += len(h)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -79,8 +52,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def spanning_links(fp: np.ndarray, wide: np.ndarray, radius: int, wide_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of a group: rows whose fp differ in radius bits at most, and wide in wide_radius.
+def spanning_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of a group: rows whose fp differ in radius bits at most.
 
     Only rows without a component yet are compared, so tight groups take about as many comparisons as they have rows.
     """
@@ -90,10 +63,7 @@ def spanning_links(fp: np.ndarray, wide: np.ndarray, radius: int, wide_radius: i
         root, todo = todo[0], todo[1:]
         front = [root]
         while front and len(todo):
-            x = front.pop()
-            near = np.bitwise_count(fp[todo] ^ fp[x]) <= radius
-            if wide.shape[1]:
-                near &= np.bitwise_count(wide[todo] ^ wide[x]).sum(axis=1) <= wide_radius
+            near = np.bitwise_count(fp[todo] ^ fp[front.pop()]) <= radius
             hit = todo[near]
             if len(hit):
                 todo = todo[~near]
@@ -103,358 +73,83 @@ def spanning_links(fp: np.ndarray, wide: np.ndarray, radius: int, wide_radius: i
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _links_in_groups(rows: DataFrame, keys: list[str], radius: int, wide_radius: int) -> DataFrame:
-    """Links (a, b) between nodes that share all keys; rows hold the keys, fp and node (fp's bytes, then the wide ones)."""
+def _links_in_groups(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Links (a, b) between fingerprints that share all keys; rows hold the keys and fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def links(k: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        def links() -> pa.RecordBatch:
+            k, fp = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             cut = np.flatnonzero(np.any(k[1:] != k[:-1], axis=1)) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])
-            fp = np.ascontiguousarray(nodes[:, :8]).view("<u8").ravel()
-            wide = np.ascontiguousarray(nodes[:, 8:]).view("<u8").reshape(len(nodes), -1)
             two = starts[ends - starts == 2]
             near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-            if wide.shape[1]:
-                near &= np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= wide_radius
             left, right = [two[near]], [two[near] + 1]
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-                a, b = spanning_links(fp[s:e], wide[s:e], radius, wide_radius)
+                a, b = spanning_links(fp[s:e], radius)
                 left.append(a + s)
                 right.append(b + s)
-            size = nodes.shape[1]
-            binary = lambda i: pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(i), [None, pa.py_buffer(np.ascontiguousarray(nodes[i]))]).cast(pa.binary())
-            return pa.RecordBatch.from_arrays([binary(np.concatenate(left).astype(np.int64)), binary(np.concatenate(right).astype(np.int64))], names=["a", "b"])
-
-        def gathered() -> tuple[np.ndarray, np.ndarray]:
-            return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            return pa.RecordBatch.from_arrays([pa.array(fp[np.concatenate(i).astype(np.int64)].view(np.int64)) for i in (left, right)], names=["a", "b"])
 
         for batch in batches:
             if not len(batch):
                 continue
             k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], axis=1)
-            raw = b"".join(batch.column("node").to_pylist())
-            nodes = np.frombuffer(raw, np.uint8).reshape(len(batch), -1)
+            fp = batch.column("fp").to_numpy().view(np.uint64)
             same = np.all(k == k[-1], axis=1)
             last = len(k) - int(np.argmin(same[::-1])) if not same.all() else 0
             if last:  # the last group may go on in the next batch
-                held.append((k[:last], nodes[:last]))
-                yield links(*gathered())
+                held.append((k[:last], fp[:last]))
+                yield links()
                 held = []
             elif held and np.any(held[-1][0][-1] != k[0]):
-                yield links(*gathered())
+                yield links()
                 held = []
-            held.append((k[last:], nodes[last:]))
+            held.append((k[last:], fp[last:]))
         if held:
-            yield links(*gathered())
-
-    dealt = rows.select(*keys, "node").repartition(width(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node")
-    return mapped(dealt, run, "a binary, b binary")
-
-
-def _in_company(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows (keys, id) whose keys other rows share, told from sorted rows as they pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, and whether it has gone out
-        for b in batches:
-            if not len(b):
-                continue
-            k = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in keys], axis=1)
-            same = np.all(k[1:] == k[:-1], axis=1)
-            keep = np.zeros(len(k), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if held is not None and all(held[0].column(c)[0].as_py() == b.column(c)[0].as_py() for c in keys):
-                keep[0] = True
-                if not held[1]:
-                    yield held[0]
-            yield b.filter(pa.array(keep))
-            held = (b.slice(len(b) - 1, 1), bool(keep[-1]))
-
-    dealt = rows.select(*keys, "id").repartition(width(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return mapped(dealt, run, dealt.schema)
-
+            yield links()
 
-def _exploded(rows: DataFrame, tables: list[tuple[int, int]], number: str, key: str, within: str = "") -> DataFrame:
-    made = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in tables))
-    return rows.select("*", F.explode(made).alias("x")).select(*rows.columns, F.col("x.t").alias(number), F.col("x.k").alias(key))
+    dealt = rows.select(*keys, "fp").repartition(width(rows.sparkSession), *keys).sortWithinPartitions(*keys, "fp")
+    return mapped(dealt, run, "a long, b long")
 
 
-def covering_links(nodes: DataFrame, radius: int = RADIUS, wide_radius: int = 0, hot_group: int = HOT_GROUP) -> DataFrame:
-    """Links (a, b) that span the components of ``nodes`` (columns fp, node; one row for each node).
-
-    A node is its fp's bytes, least first, and wider fingerprints behind them, if any. Wide nodes don't travel with all
-    their keys: first rows are found whose table and key others share, which few are, and these get their nodes.
+def covering_links(nodes: DataFrame, radius: int = RADIUS, hot_group: int = HOT_GROUP) -> DataFrame:
+    """Links (a, b) that span the components of different fingerprints (column fp).
 
     No group is compared pair by pair where it holds more than hot_group rows: those rows go to tables over the bits
     outside the first mask, where a pair within the radius still collides. A count of the rows by hashed table and key,
     with as many bins as keep bins of ordinary groups below hot_group, tells where such groups can be.
     """
     masks = covering_masks(list(range(64)), radius)
-    wide = wide_radius > 0
-    nodes = nodes.select("fp", "node", F.xxhash64("node").alias("id")) if wide else nodes.select("fp", "node")
-    own = "id" if wide else "node"
-
-    def links(rows: DataFrame, keys: list[str]) -> DataFrame:
-        if not wide:
-            return _links_in_groups(rows, keys, radius, wide_radius)
-        # keys of one hash and nodes of one id only make candidates more
-        some = _in_company(rows.select(F.xxhash64(*keys).alias("h"), "id"), ["h"]).join(nodes.select("id", "node"), "id")
-        return _links_in_groups(some, ["h"], radius, wide_radius)
-
-    rows = _exploded(nodes.select("fp", own), list(enumerate(masks)), "t", "k")
+    made = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)))
+    rows = nodes.select("fp", F.explode(made).alias("x")).select("fp", "x.t", "x.k")
     bins = max(4096, len(masks) * nodes.count() // max(1, hot_group // 8))
     binned = rows.withColumn("bin", F.pmod(F.xxhash64("t", "k"), F.lit(bins)))
     full = checkpointed(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_group).select("bin"))
     if full.isEmpty():
-        return links(rows, ["t", "k"])
+        return _links_in_groups(rows, ["t", "k"], radius)
     hot = checkpointed(binned.join(full, "bin", "left_semi").groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_group).select("t", "k"))
-    out = links(rows.join(hot, ["t", "k"], "left_anti"), ["t", "k"])
+    out = _links_in_groups(rows.join(hot, ["t", "k"], "left_anti"), ["t", "k"], radius)
     again = rows.join(hot, ["t", "k"], "left_semi")
     inner = F.array(*(F.array(*(F.lit(_signed(mask | m)) for m in covering_masks([i for i in range(64) if not mask >> i & 1], radius))) for mask in masks))
-    deeper = again.select("fp", own, "t", F.posexplode(F.element_at(inner, F.col("t") + 1)).alias("u", "m")).select(own, "t", "u", F.col("fp").bitwiseAND(F.col("m")).alias("k2"))
-    return out.unionByName(links(deeper, ["t", "u", "k2"]))
-
-
-def _node() -> Column:
-    """fp as 8 bytes, least first, as numpy reads them."""
-    digits = F.lpad(F.hex("fp"), 16, "0")
-    return F.unhex(F.concat(*(F.substring(digits, at, 2) for at in range(15, 0, -2))))
+    deeper = again.select("fp", "t", F.posexplode(F.element_at(inner, F.col("t") + 1)).alias("u", "m")).select("fp", "t", "u", F.col("fp").bitwiseAND(F.col("m")).alias("k2"))
+    return out.unionByName(_links_in_groups(deeper, ["t", "u", "k2"], radius))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, hot_group: int = HOT_GROUP) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each row of documents.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked; component_id is the smallest doc_id of
-    the component. Equal fingerprints are one node, counted before the shuffle. Null, empty and blank texts have
-    fingerprint zero and are linked like any other. A row with a null doc_id is linked too, but names no component: it
-    gets the smallest doc_id of its component, or null if there is none. Other columns aren't read.
+    the component. Equal fingerprints are one node, counted before the shuffle; one that many documents have is joined
+    without a shuffle of them. Null, empty and blank texts have fingerprint zero and are linked like any other. A row
+    with a null doc_id is linked too, but names no component: it gets the smallest doc_id of its component, or null if
+    there is none. Other columns aren't read.
     """
     prints = written(fingerprints(docs, words))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", "first", _node().alias("node")))
-    roots = components(covering_links(nodes, radius, 0, hot_group))
-    named = nodes.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-STAGE_WORDS, MAP_BITS = 5, 2048
-SAMPLED, COMMON = 10_000, 200_000
-
-
-def shingle_set(text: bytes) -> np.ndarray:
-    """The hashes of the distinct shingles of STAGE_WORDS words of a whole text, in order."""
-    found = list(shingle_hashes(text, STAGE_WORDS))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def parity_map(h: np.ndarray) -> bytes:
-    """For each of MAP_BITS bins whether it holds an odd number of hashes: two maps differ in no more bits than two sets in elements."""
-    return np.packbits((np.bincount((h % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).astype(bool), bitorder="little").tobytes()
-
-
-def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The n - ceil(0.8 n) + 1 first shingles of a set of n, in one order for all sets: those not in ``common`` first, then by count.
-
-    Two sets with a Jaccard similarity of 0.8 share 0.8 of the larger at least, and so one of these, whatever the order.
-    """
-    rank = np.zeros(len(h), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        rank = np.where(common[at] == h, counts[at], 0)
-    return h[np.lexsort((h, rank))[: len(h) - (4 * len(h) + 4) // 5 + 1]] if len(h) else h
-
-
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts of shingles that several of a sample of documents hold. They only order the prefixes: any will do."""
-    share = min(1.0, SAMPLED / max(1, docs.count()))
-    some = docs.filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("text").cast("binary").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("t"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py() or b"").view(np.int64))], names=["h"])
-
-    found = mapped(some, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, row, node, n, bits, keys): a digest of a whole text's set of shingles, its size, parity map and prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
-        for b in batches:
-            rows = []
-            for x in b.column("t"):
-                h = shingle_set(x.as_py() or b"")
-                rows.append((hashlib.blake2b(h.tobytes(), digest_size=16).digest(), len(h), parity_map(h), prefix(h, common, counts).tobytes()))
-            own = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *own], names=["doc_id", "row", "node", "n", "bits", "keys"])
-
-    return mapped(docs.select("doc_id", F.xxhash64(F.lit(5), "text").alias("row"), F.col("text").cast("binary").alias("t")), run, "doc_id long, row long, node binary, n long, bits binary, keys binary")
-
-
-def _split(rows: DataFrame, packed: str, name: str, own: str) -> DataFrame:
-    """Rows (name, own): one for each integer of eight bytes in ``packed``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column(packed).to_pylist()
-            values = np.frombuffer(b"".join(x), np.int64)
-            owner = np.repeat(b.column(own).to_numpy(), [len(v) // 8 for v in x])
-            for at in range(0, len(values), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(values[at : at + CHUNK]), pa.array(owner[at : at + CHUNK])], names=[name, own])
-
-    return mapped(rows.select(packed, own), run, f"{name} long, {own} long")
-
-
-def _groups(rows: DataFrame) -> DataFrame:
-    """Rows (g, members): the sets of ids, packed and in order, that share a key (columns h, id); each set once, however many keys its ids share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for b in batches:
-            if not len(b):
-                continue
-            h, ids = b.column("h").to_numpy(), b.column("id").to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]]).tolist()
-            out = []
-            for s, e in zip(cut, cut[1:]):
-                if held and h[s] != key:
-                    out.append(np.concatenate(held).tobytes())
-                    held = []
-                key = h[s]
-                held.append(ids[s:e])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["members"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["members"])
-
-    dealt = rows.select("h", "id").repartition(width(rows.sparkSession), "h").sortWithinPartitions("h", "id")
-    return mapped(dealt, run, "members binary").filter("length(members) > 8").distinct().withColumn("g", F.xxhash64("members"))
-
-
-def _by_group(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[tuple[bytes, bytes]]]) -> DataFrame:
-    """Rows (a, b) that ``found`` makes of the columns of all rows of a group g, as lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, [[] for _ in columns]
-
-        def links() -> Iterator[pa.RecordBatch]:
-            some = list(found(*held)) if held[0] else []
-            for at in range(0, len(some), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in some[at : at + CHUNK]], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            if not len(b):
-                continue
-            g = b.column("g").to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]]).tolist()
-            for s, e in zip(cut, cut[1:]):
-                if g[s] != key:
-                    yield from links()
-                    key, held = g[s], [[] for _ in columns]
-                for x, c in zip(held, columns):
-                    x += b.column(c)[s:e].to_pylist()
-        yield from links()
-
-    dealt = rows.select("g", *columns).repartition(width(rows.sparkSession), "g").sortWithinPartitions("g", "node")
-    return mapped(dealt, run, "a binary, b binary")
-
-
-def _can_be_near(n: np.ndarray, bits: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
-    """False where sizes or parity maps rule out 0.8: sets that share that differ in a ninth of their sizes' sum at most."""
-    both = n[others] + n[one]
-    apart = np.bitwise_count(bits[others] ^ bits[one]).sum(axis=1, dtype=np.int64)
-    return (9 * np.abs(n[others] - n[one]) <= both) & (9 * apart <= both)
-
-
-def _maps(bits: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
-
-
-def _possible(node: list[bytes], n: list[int], bits: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """Rows (least node, node) of the components of a group by pairs that can be near; those alone are left out."""
-    n, bits, todo = np.array(n), _maps(bits), np.arange(len(node))
-    while len(todo) > 1:
-        root, todo = int(todo[0]), todo[1:]
-        front, alone = [root], True
-        while front and len(todo):
-            near = _can_be_near(n, bits, front.pop(), todo)
-            for y in todo[near].tolist():
-                yield node[root], node[y]
-                front.append(y)
-                alone = False
-            todo = todo[~near]
-        if not alone:
-            yield node[root], node[root]
-
-
-def _shared(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two sets is 0.8 or more."""
-    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
-
-
-def _spanning(node: list[bytes], own: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """Verified links that span the components of a group; only sets without a component yet are compared."""
-    sets = [np.frombuffer(x, np.uint64) for x in own]
-    n, bits = np.array(list(map(len, sets))), _maps([parity_map(x) for x in sets])
-    todo = np.arange(len(node))
-    while len(todo) > 1:
-        front, todo = [int(todo[0])], todo[1:]
-        while front and len(todo):
-            x = front.pop()
-            near = _can_be_near(n, bits, x, todo)
-            near[near] = [_shared(sets[x], sets[y]) for y in todo[near].tolist()]
-            for y in todo[near].tolist():
-                yield node[x], node[y]
-                front.append(y)
-            todo = todo[~near]
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (node, own): the sets of shingles of the nodes wanted, from a text of each."""
-    first = nodes.join(wanted, "node", "left_semi").select(F.coalesce("least.doc_id", F.lit(-(2**63))).alias("_doc"), F.col("least.row").alias("_row"), "node")
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_doc"), F.xxhash64(F.lit(5), "text").alias("_row"), F.col("text").cast("binary").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(x.as_py() or b"").tobytes() for x in b.column("t")], pa.binary())], names=["node", "own"])
-
-    return mapped(texts.join(first, ["_doc", "_row"]).dropDuplicates(["node"]).select("node", "t"), run, "node binary, own binary")
-
-
-def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of nodes: pairs whose sets have a Jaccard similarity of 0.8 or more, and no others.
-
-    Nodes that share a key fall into parts that sizes and parity maps can't tell apart. Parts with the same least node
-    become one, whose sets are brought together and compared, as far as they have no component yet.
-    """
-    at = nodes.filter("n > 0").select(F.xxhash64("node").alias("id"), "node", "n", "bits", "keys")
-    groups = written(_groups(_in_company(_split(at, "keys", "h", "id"), ["h"])))
-    # ids of one hash and groups of one only make candidates more
-    parts = _by_group(_split(groups, "members", "id", "g").join(at.drop("keys"), "id"), ["node", "n", "bits"], _possible)
-    parts = written(parts.distinct().select(F.xxhash64("a").alias("g"), F.col("b").alias("node")))
-    sets = _sets(docs, nodes, parts.select("node").distinct())
-    return _by_group(parts.join(sets, "node"), ["node", "own"], _spanning)
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of documents, without all but the smallest doc_id of each group of near-duplicates.
-
-    Texts are linked if the Jaccard similarity of their sets of distinct shingles of five words is 0.8 or more. Candidates
-    are pairs that share a shingle of their prefixes, which all such pairs do, and each link is verified. Texts without words are one group. Of rows
-    with one doc_id and text one stays. A null doc_id counts as the largest.
-    """
-    last = F.col("doc_id").isNull().alias("last")
-    nodes = written(sketches(docs).groupBy("node").agg(F.min(F.struct(last, "doc_id", "row")).alias("least"), *(F.first(c).alias(c) for c in ("n", "bits", "keys"))))
-    roots = components(forest(written(near_links(docs, nodes))))
-    keep = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("k")).select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("_doc"), F.col("k.row").alias("_row"))
-    x = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63))), "_row": F.xxhash64(F.lit(5), "text")})
-    return x.join(keep, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select(*docs.columns)
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = components(covering_links(nodes, radius, hot_group))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    of = written(skew_join(named, least, ["root"], "fps", nodes.count()).select("fp", "n", "component_id"))
+    return skew_join(prints, of, ["fp"], "n", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

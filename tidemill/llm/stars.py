@@ -8,20 +8,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import checkpointed, mapped, salted_join
+from .work import checkpointed, mapped, salted_join, skew_join, written
 
 
-def _large(e: DataFrame) -> DataFrame:
+#: With more edges than this, a node's neighbours can be more than 16 tasks should have.
+SALTED_EDGES = 50_000_000
+
+
+def _with_least(e: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges with the m of their u; those of a node with very many neighbours aren't shuffled. least has (u, m, c), c the edges of u."""
+    if n <= SALTED_EDGES:
+        return salted_join(e, least.drop("c"), ["u"], F.col("v"))
+    return skew_join(e, checkpointed(least), ["u"], "c", n)
+
+
+def _large(e: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours move to the least of its neighbours and itself."""
     both = e.union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return salted_join(both, least, ["u"], F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    return _with_least(both, least, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them; e has u > v."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = salted_join(e, least, ["u"], F.col("v")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+    moved = _with_least(e, least, n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -30,14 +41,15 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(r)
 
 
-NODES_HELD = 300_000
+NODES_HELD, EDGES_AT_ONCE = 300_000, 300_000
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """Fewer edges (a, b) with the same components: each task merges those it reads and passes on a star for each of its components.
+def forest(edges: DataFrame, held: int = 0) -> DataFrame:
+    """Fewer edges (a, b), a less than b, with the same components: each task merges those it reads and passes on a star for each of its components.
 
-    A task holds NODES_HELD nodes at most; then it passes on what it has and starts anew.
+    A task holds ``held`` (NODES_HELD) nodes at most; then it passes on what it has and starts anew.
     """
+    held = held or NODES_HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict = {}
@@ -62,7 +74,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 a, b = top(up.setdefault(a, a)), top(up.setdefault(b, b))
                 if a != b:
                     up[max(a, b)] = min(a, b)
-            if len(up) > NODES_HELD:
+            if len(up) > held:
                 yield out()
                 up = {}
         if up:
@@ -74,17 +86,25 @@ def forest(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Rows (node, root) of all nodes of ``edges`` (columns a, b of one type); root is the least node of the component.
 
-    The rows of a node with many neighbours are joined in several tasks; minima are taken before
-    the shuffle. Each round is cut off by a checkpoint. Edges of a node with itself, and null ends, are left out.
+    Edges that are counted to be no more than EDGES_AT_ONCE are merged by one task, which holds no more nodes than twice
+    that; more go through rounds of stars, each cut off by a checkpoint, in which minima are taken before the shuffle and
+    the rows of a node with many neighbours are joined in several tasks. Edges of a node with itself, and null ends, are
+    left out.
     """
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = checkpointed(e)
-    if e.isEmpty():
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = written(e)
+    n = e.count()
+    if n == 0:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    mark = None
+    if n <= EDGES_AT_ONCE:
+        e = written(forest(e.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1), 2 * EDGES_AT_ONCE).select(F.col("b").alias("u"), F.col("a").alias("v")))
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+    e, mark = checkpointed(e.distinct()), None
     for _ in range(most_rounds):
-        e = checkpointed(_small(_large(e)))
+        e = _large(e, n)
+        e = checkpointed(_small(e if n <= SALTED_EDGES else checkpointed(e), n))
         now = _mark(e)
+        n = now[0]
         if now == mark:
             break
         mark = now

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import END_ID, encoder, vocabulary_path
-from .rans import Coder, shared_table
-from .work import mapped, width, written
+from .rans import Coder, Corrupt, shared_table
+from .work import mapped, scratch, width, written
 
 BLOCK_IDS = 1 << 20
-FILE_SCHEMA = "part int, block int, start_in_part long, doc_ids array<long>, doc_sizes array<long>, n_ids long, data binary"
+FILE_SCHEMA = "part int, block int, start_in_part long, doc_ids array<long>, doc_sizes array<long>, n_ids long, table_crc long, data binary"
+_FILE_NAMES = [c.split()[0] for c in FILE_SCHEMA.split(", ")]
+_FILE_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
+TABLE_SCHEMA = "freqs binary, crc32 long"
 
 
 def tokenized(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> DataFrame:
@@ -69,13 +72,18 @@ def id_counts(counts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write_blocks(ids: DataFrame, freqs: np.ndarray) -> DataFrame:
-    """The token files: one table of blocks, whole documents in each, parts and blocks ascending by document id.
+def _crc(freqs: np.ndarray) -> int:
+    return zlib.crc32(freqs.astype("<u4").tobytes())
 
-    Documents are dealt by ranges of doc_id (nulls first; rows of one id ascend by their ids) and each task writes one
-    part. A document of any length is in one block; its segments are coded a few at a time.
+
+def write_blocks(ids: DataFrame, freqs: np.ndarray, path: str) -> None:
+    """Writes the blocks under ``path``: whole documents in each, parts and blocks ascending by document id.
+
+    Documents are dealt by ranges of doc_id (nulls first; rows of one id ascend by a hash of their ids, and those of one
+    id with equal ids are dealt by their place, so no id is one task's alone) and each task writes one part. A document
+    of any length is in one block; its segments are coded a few at a time.
     """
-    raw = freqs.astype("<u4").tobytes()
+    raw, table_crc = freqs.astype("<u4").tobytes(), _crc(freqs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = Coder(np.frombuffer(raw, "<u4")), TaskContext.get().partitionId()
@@ -84,8 +92,8 @@ def write_blocks(ids: DataFrame, freqs: np.ndarray) -> DataFrame:
         def out() -> pa.RecordBatch:
             sizes = [len(x) // 2 for x in held]
             all_ids = np.frombuffer(b"".join(held), np.uint16)
-            row = (part, block, done, docs, sizes, len(all_ids), coder.encode(all_ids))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()))], names=["part", "block", "start_in_part", "doc_ids", "doc_sizes", "n_ids", "data"])
+            row = (part, block, done, docs, sizes, len(all_ids), table_crc, coder.encode(all_ids))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _FILE_TYPES)], names=_FILE_NAMES)
 
         size = 0
         for b in batches:
@@ -99,50 +107,91 @@ def write_blocks(ids: DataFrame, freqs: np.ndarray) -> DataFrame:
         if docs:
             yield out()
 
-    spark = ids.sparkSession
-    dealt = ids.repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
-    return written(mapped(dealt, run, FILE_SCHEMA), codec="none")
+    x = ids.select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("at"))
+    dealt = x.repartitionByRange(width(ids.sparkSession), "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "ids")
+    mapped(dealt, run, FILE_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+
+
+def write_table(spark: SparkSession, freqs: np.ndarray, path: str) -> None:
+    """Writes the shared frequencies under ``path``, without which no block can be decoded."""
+    row = (bytearray(freqs.astype("<u4").tobytes()), _crc(freqs))
+    spark.createDataFrame([row], TABLE_SCHEMA).coalesce(1).write.option("compression", "zstd").parquet(f"{path}/table")
+
 
+def read_table(spark: SparkSession, path: str) -> np.ndarray:
+    """The shared frequencies that belong to the files under ``path``."""
+    raw, crc = spark.read.schema(TABLE_SCHEMA).parquet(f"{path}/table").head()
+    freqs = np.frombuffer(bytes(raw), "<u4")
+    if _crc(freqs) != crc:
+        raise Corrupt("the frequency table's checksum differs")
+    return freqs
 
-def read_blocks(blocks: DataFrame, freqs: np.ndarray) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files.
 
-    What the driver holds is one number for each part.
+def _decoded(spark: SparkSession, path: str, run: Callable, schema: str) -> DataFrame:
+    """Rows that ``run`` makes of each document (doc_id, start, ids) of the files under ``path``.
+
+    What the driver holds is one number for each part, and the frequencies.
     """
+    blocks = spark.read.schema(FILE_SCHEMA).parquet(f"{path}/blocks")
     before, at = {}, 0
     for part, n in sorted(tuple(r) for r in blocks.groupBy("part").agg(F.sum("n_ids")).collect()):
         before[part] = at
         at += n
-    raw = freqs.astype("<u4").tobytes()
+    freqs = read_table(spark, path)
+    raw, table_crc = freqs.tobytes(), _crc(freqs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(np.frombuffer(raw, "<u4"))
         for b in batches:
             for i in range(len(b)):
-                part, start, docs, sizes, data = (b.column(c)[i].as_py() for c in ("part", "start_in_part", "doc_ids", "doc_sizes", "data"))
-                ids = memoryview(coder.decode(data).astype("<u4").tobytes())
+                part, start, docs, sizes, crc, data = (b.column(c)[i].as_py() for c in ("part", "start_in_part", "doc_ids", "doc_sizes", "table_crc", "data"))
+                if crc != table_crc:
+                    raise Corrupt("the block was written with another frequency table")
                 ends = np.cumsum(sizes)
-                crcs = [zlib.crc32(ids[4 * (z - n) : 4 * z]) for z, n in zip(ends.tolist(), sizes)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(before[part] + start + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                yield run(docs, before[part] + start + ends - sizes, ends - sizes, ends, coder.decode(data))
 
-    return mapped(blocks.select("part", "start_in_part", "doc_ids", "doc_sizes", "data"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(blocks.select("part", "start_in_part", "doc_ids", "doc_sizes", "table_crc", "data"), decode, schema)
 
 
-def store_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """(files, shared frequencies) of all documents."""
-    path = path or vocabulary_path()
-    found = written(counted(docs, path))
-    freqs = shared_table(id_counts(found.filter("counts IS NOT NULL"), encoder(path).size))
-    return write_blocks(found.filter("counts IS NULL").select("doc_id", "ids"), freqs), freqs
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files under ``path`` alone."""
 
+    def run(docs: list, starts: np.ndarray, at: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        raw = memoryview(ids.astype("<u4").tobytes())
+        crcs = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, ends - at, crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _decoded(spark, path, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-def token_index(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the token files of all documents and reads them back, as ``read_blocks`` returns them.
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (doc_id, start, ids) of every document, ids as an array, decoded from the files under ``path`` alone."""
+
+    def run(docs: list, starts: np.ndarray, at: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(at, ends[-1:]), pa.int64()), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), lists], names=["doc_id", "start", "ids"])
+
+    return _decoded(spark, path, run, "doc_id long, start long, ids array<int>")
+
+
+def store_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
+    """Token files of all documents under ``path``, a new directory: ``blocks`` and the shared ``table``, enough to decode them in any session.
 
     A null text has the end id alone. Null ids come first. Rows of one id stay separate documents. An empty table gives
     empty files. Other columns aren't read.
     """
-    return read_blocks(*store_tokens(docs, path))
+    vocabulary = vocabulary or vocabulary_path()
+    found = written(counted(docs, vocabulary))
+    freqs = shared_table(id_counts(found.filter("counts IS NOT NULL"), encoder(vocabulary).size))
+    write_table(docs.sparkSession, freqs, path)
+    write_blocks(found.filter("counts IS NULL").select("doc_id", "ids"), freqs, path)
+
+
+def token_index(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> DataFrame:
+    """Writes the token files of all documents and reads them back, as ``read_blocks`` returns them.
+
+    Without a ``path`` they are in the shared folder and go when the session ends. Cases are as in ``store_tokens``.
+    """
+    path = path or scratch(docs.sparkSession)
+    store_tokens(docs, path, vocabulary)
+    return read_blocks(docs.sparkSession, path)

@@ -1,10 +1,9 @@
-"""Reading tables, writing intermediate tables to the shared folder, and Arrow helpers."""
+"""Reading tables, joins of skewed keys and Arrow helpers; intermediate tables go to the shared folder."""
 
 from __future__ import annotations
 
 import ctypes
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,6 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.shared import checkpointed, kept, scratch, swept, written
+
+
+__all__ = ["ascii_lower", "checkpointed", "kept", "mapped", "salted_join", "scratch", "sized_join", "skew_join", "swept", "table", "width", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,34 +28,6 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """``df`` as a table in the shared folder, which outlives executors and cuts lineage; it goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemill-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, so that their Python workers can import it."""
     sc = spark.sparkContext
@@ -89,6 +65,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Tables up to this many rows are broadcast.
+MOST_BROADCAST = 100_000
+#: A key with this share of all rows is hot, so that no more than one over it are; tables up to SMALL rows have none.
+HOT_SHARE, SMALL = 1e-4, 1_000_000
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """A join in which the rows of one key of ``big`` go to ``salts`` tasks, by a hash of ``salt``, and those of ``small`` to each of them.
 
@@ -97,3 +79,25 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: Column, h
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
     each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(each.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """An inner or left join in which hot keys of ``big`` are not shuffled.
+
+    ``small`` has one row for each key, with the number of its rows in ``big`` (or a bound of it) in column n, which is
+    dropped; ``total`` is the sum. At most 1 / HOT_SHARE keys can be hot, and these rows of ``small`` are broadcast; the
+    rest is joined by a shuffle. Both are read twice, so they should be written, or cheap to make.
+    """
+    if total <= SMALL:
+        return big.join(small.drop(n), on, how)
+    least = max(1, int(total * HOT_SHARE))
+    hot, cold = small.filter(F.col(n) > least).drop(n), small.filter(F.col(n) <= least).drop(n)
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return big.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """A join with ``small`` broadcast where it is counted to be no more than MOST_BROADCAST rows, else salted; ``small`` should be written."""
+    if small.count() <= MOST_BROADCAST:
+        return big.join(F.broadcast(small), on, how)
+    return salted_join(big, small, on, salt, how)
