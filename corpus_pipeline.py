@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontam, mixing, quality, simhash, tokens
-from tidemill.llm.work import table, written
+from tidemill.llm import decontam, mixing, nearsets, quality, tokens
+from tidemill.llm.work import kept, swept, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, by shingles of five words and a similarity of 0.8, the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    return nearsets.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,16 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and each document's place and checksum as read back from them."""
-    return tokens.token_index(docs)
+    """Token files, and each document's place and checksum as read back from them.
+
+    The files are kept: under the folder that ``spark.tidemill.tokens.dir`` names, which must be new, else in the shared
+    folder under a name that ``spark.tidemill.tokens.made`` has afterwards.
+    """
+    path = spark.conf.get("spark.tidemill.tokens.dir", None)
+    if not path:
+        path = kept(spark)
+        spark.conf.set("spark.tidemill.tokens.made", path)
+    return tokens.token_index(docs, path)
 
 
 STAGES = [
@@ -46,7 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's table is written and read by the next, and what a stage needs besides goes with it.
+
+    Null, empty and very long texts, repeated rows, null ids and further columns pass through every stage as its operator
+    states. An empty table gives no rows and empty token files.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with swept(spark):
+            docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
