@@ -1,6 +1,7 @@
 """Semantics on small fixtures: ranges, matchers, merging, ordering, tombstones, blocks, ingest and wire requests."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from tidemill.operators import select as sel
 from tidemill.operators.aggregate import bucketed, last_point, rates
 from tidemill.operators.matchers import Eq, In, Neq, Not, Nre, Re, parse_matcher
 from tidemill.plans import blocks as B
-from tidemill.sources import adaptors, store, wire
+from tidemill.plans import tsbs
+from tidemill.sources import adaptors, blockstore, proto, store, wire
 from tidemill.streaming import streams
 
 M = Eq(METRIC_LABEL, "m")
@@ -107,10 +109,27 @@ def test_sets_that_read_alike_stay_apart(spark):
     assert len(points(sel.select(s, [M]))) == 4
 
 
-def test_hashed_ids_tell_series_apart(spark):
+def test_ids_have_no_gaps(spark):
     s = samples(spark, [({METRIC_LABEL: m, "a": str(i)}, 0, 1) for m in "mn" for i in range(20)])
-    t = index.series_table(s, dense=False)
-    assert t.select("series_id").distinct().count() == 40 and t.select("source_id").distinct().count() == 20
+    t = index.series_table(s).collect()
+    assert sorted(r["series_id"] for r in t) == list(range(1, 41)) and sorted({r["source_id"] for r in t}) == list(range(1, 21)) and {r["metric_id"] for r in t} == {1, 2}
+    assert len({(r["tags"]["a"], r["source_id"]) for r in t}) == 20
+
+
+def test_samples_of_tags_in_a_map_get_their_own_ids(spark):
+    s = samples(spark, [({METRIC_LABEL: "m", "h": "a"}, 0, 1), ({METRIC_LABEL: "m", "h": "b"}, 0, 2), ({METRIC_LABEL: "m"}, 0, 3)])
+    got = index.with_ids(s, index.series_table(s)).collect()
+    assert len(got) == 3 and len({r["series_id"] for r in got}) == 3
+
+
+def test_ranks_in_many_buckets(spark, monkeypatch):
+    from tidemill.operators import ranks
+
+    monkeypatch.setattr(ranks, "CUTS", 7)
+    df = spark.createDataFrame([(f"k{i * 37 % 200:03d}",) for i in range(200)], "k string")
+    assert [r["r"] for r in ranks.ranked_in_order(df, "r", F.col("k")).orderBy("k").collect()] == list(range(1, 201))
+    assert sorted(r["r"] for r in ranks.ranked_by_digest(df, "r", F.col("k")).collect()) == list(range(1, 201))
+    assert ranks.ranked_in_order(df.limit(0), "r", F.col("k")).count() == 0
 
 
 def test_order_of_label_sets(spark):
@@ -145,9 +164,52 @@ def test_tombstones_apply_and_clamp(spark):
     assert [tuple(r) for r in tombstones.delete_range(bounds, 5, 15).collect()] == [(1, 10, 15)]
 
 
-def test_clean_tombstones(spark, tmp_path):
-    df = spark.createDataFrame([(1, t, float(t)) for t in range(10)], "series_id long, t long, v double")
-    assert tombstones.clean_tombstones(df, intervals(spark, [(0, 4)]), str(tmp_path / "clean")).count() == 5
+def test_rewriting_keeps_the_layout(spark, tmp_path):
+    lab = {METRIC_LABEL: "m", "h": "a"}
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    store.write_samples(samples(spark, [(lab, d * T.DAY_MS + i, i) for d in range(3) for i in range(10)]), a)
+    s = store.read_samples(spark, a, {}, tags_column="tags")
+    own = s.with_df(s.df.withColumn("series_id", F.lit(1).cast("long")))
+    store.rewrite_without(own, intervals(spark, [(0, 4)]), b)
+    with pytest.raises(ValueError, match="already"):
+        store.rewrite_without(own, intervals(spark, [(0, 4)]), a)
+    store.replace(spark, b, a)
+    back = store.read_samples(spark, a, {}, tags_column="tags")
+    assert back.df.count() == 25 and sorted(p.name for p in (tmp_path / "a").glob("day=*")) == ["day=0", "day=1", "day=2"] and not (tmp_path / "b").exists() and not (tmp_path / "a.old").exists()
+
+
+def test_days_are_files_by_their_size(spark, tmp_path):
+    hot = [({METRIC_LABEL: "m", "h": "hot"}, i * 400_000, i) for i in range(200)] + [({METRIC_LABEL: "m", "h": str(i)}, T.DAY_MS + i, i) for i in range(5)]
+    store.write_samples(samples(spark, hot), str(tmp_path / "s"), rows_a_file=40)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "s").glob("day=*")}
+    assert files["day=1"] == 1 and 2 <= files["day=0"] <= 5
+    assert store.read_samples(spark, str(tmp_path / "s"), {}, tags_column="tags").df.count() == 205
+    store.write_samples(empty_samples(spark), str(tmp_path / "none"))
+
+
+def test_sessions_go_on_where_the_store_is(spark, tmp_path):
+    path, lab = str(tmp_path / "s"), {METRIC_LABEL: "m", "h": "a"}
+    one = store.Appender(spark, path)
+    i = one.add(lab, 10, 1.0)
+    one.add(lab, 10, 2.0)
+    one.commit()
+    two = store.Appender(spark, path)
+    assert two.ids == one.ids and two.add({METRIC_LABEL: "m", "h": "b"}, 1, 1.0) == i + 1
+    two.add_fast(i, 10, 99.0)
+    two.commit()
+    assert points(sel.select(store.Appender(spark, path).samples(), [M, Eq("h", "a")])) == [(10, 99.0)]
+    store.append_table(wire.write_request(spark, {"timeseries": [{"labels": [{"name": METRIC_LABEL, "value": "m"}, {"name": "h", "value": "a"}], "samples": [{"timestamp": 10, "value": 7.0}, {"timestamp": 10, "value": 8.0}]}]}), path)
+    assert points(sel.select(store.Appender(spark, path).samples(), [M, Eq("h", "a")])) == [(10, 8.0)]
+    assert store.Appender(spark, path).insert([{"id": 1, "t": 3, "v": 1.0}, {"id": 9, "t": 3, "v": 1.0}, {"labels": lab, "t": "x", "v": 1}]) == [{"id": 1}, {"error": "unknown series 9"}, {"error": "ValueError: invalid literal for int() with base 10: 'x'"}]
+
+
+def test_packed_ids_that_do_not_fit_fail(spark):
+    lit = lambda x: F.lit(x).cast("long")
+    for bad in (T.pack_chunk_id(lit(1 << 40), lit(0)), T.pack_chunk_id(lit(1), lit(1 << 24)), T.pack_series_id(lit(1), lit(512)), T.pack_series_id(lit(-1), lit(1))):
+        with pytest.raises(Exception, match="beyond"):
+            spark.range(1).select(bad).collect()
+    top = T.pack_chunk_id(lit((1 << 40) - 1), lit((1 << 24) - 1))
+    assert list(spark.range(1).select(*T.unpack_chunk_id(top)).head()) == [(1 << 40) - 1, (1 << 24) - 1]
 
 
 def blocks(spark, rows):
@@ -230,15 +292,24 @@ def test_appender(spark, tmp_path):
     assert by_id.head()["tags"] == {"h": "a"}
 
 
-def test_store_prunes_partitions(spark, tmp_path):
+def test_select_prunes_the_store(spark, tmp_path):
     lab = [({METRIC_LABEL: "m", "h": "a"}, d * T.DAY_MS + 5, d) for d in range(4)]
     s = samples(spark, lab)
     store.append_table(s, str(tmp_path / "p"))
     back = store.read_samples(spark, str(tmp_path / "p"), {}, tags_column="tags")
-    found = sel.select(store.in_days(back, T.DAY_MS, 2 * T.DAY_MS), [M], T.DAY_MS, 2 * T.DAY_MS, dedupe=False)
-    plan = found.df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(p," in plan
+    plan = lambda x: x.df._jdf.queryExecution().executedPlan().toString()
+    found = sel.select(back, [M], T.DAY_MS, 2 * T.DAY_MS, dedupe=False)
+    assert "PartitionFilters: [isnotnull(day" in plan(found) and "GreaterThanOrEqual(p," in plan(found)
     assert points(found) == [(T.DAY_MS + 5, 1.0)]
+    assert re.search(r"PartitionFilters: \[[^\]]*day", plan(B.retain(back, 2 * T.DAY_MS))) and points(B.retain(back, 2 * T.DAY_MS)) == [(2 * T.DAY_MS + 5, 2.0), (3 * T.DAY_MS + 5, 3.0)]
+    assert points(B.retain_by_age(back, T.DAY_MS)) == [(2 * T.DAY_MS + 5, 2.0), (3 * T.DAY_MS + 5, 3.0)]
+
+
+def test_retention_reaches_the_scan(spark, sf_dir):
+    x = adaptors.events(spark, sf_dir)
+    for y in (B.retain(x, 10**12), B.retain_by_age(x), streams.hot_and_cold(x, x, 10**12)):
+        plan = y.df._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ts," in plan
 
 
 def test_ranges_reach_the_scan_and_aggregation_takes_one_shuffle(spark, sf_dir):
@@ -258,10 +329,59 @@ def test_wire_round_trip(spark):
     assert len(a["timeseries"]) == 10 and all(len(x["samples"]) == 101 for x in a["timeseries"])
     assert [x["labels"][1]["value"] for x in b["timeseries"]] == ["4"]
     assert wire.read_request(s, ask).filter("query = 1").count() == 1
+    assert wire.read_request(s, {"queries": []}).count() == 0 and list(wire.read_response(s, {"queries": []})) == []
+    assert wire.read_request(s, ask)._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
+    twice = {"timeseries": [{"labels": [{"name": "a", "value": "1"}, {"name": "a", "value": "2"}, {"name": METRIC_LABEL, "value": "m"}], "samples": [{"timestamp": 1, "value": 1.0}]}]}
+    assert wire.write_request(spark, twice).df.head()["tags"] == {"a": "1"}
     with pytest.raises(ValueError):
         parse_matcher({"name": "a", "op": "~~", "value": ""})
 
 
+def test_protobuf_messages(spark):
+    """Ten series of 101 samples, written and read as clients do."""
+    req = {"timeseries": [{"labels": [{"name": METRIC_LABEL, "value": "m"}, {"name": "h", "value": str(i)}], "samples": [{"value": float(i), "timestamp": t * T.HOUR_MS} for t in range(101)]} for i in range(10)]}
+    body = proto.write_body(req)
+    assert proto.parse_write(body) == req
+    s = wire.write_bodies(spark.createDataFrame([(body,), (None,), (proto.write_body({"timeseries": []}),)], "value binary"))
+    assert s.df.count() == 1010
+    ask = {"queries": [{"start_timestamp_ms": -5, "end_timestamp_ms": 10**10, "matchers": [{"type": "EQ", "name": METRIC_LABEL, "value": "m"}, {"type": "NRE", "name": "h", "value": "[1-9]"}]}]}
+    assert proto.parse_read(proto.read_body(ask)) == ask
+    got = proto.parse_response(wire.read_answer(s, proto.read_body(ask)))["results"][0]["timeseries"]
+    assert len(got) == 1 and [x["timestamp"] for x in got[0]["samples"]] == [t * T.HOUR_MS for t in range(101)]
+    assert [len(x["samples"]) for _, x in wire.read_series(s, ask)] == [24, 24, 24, 24, 5]
+    odd = {"timeseries": [{"labels": [{"name": "", "value": "é"}], "samples": [{"value": v, "timestamp": t} for v, t in ((math.inf, -1), (-0.0, 2**62), (1e-300, 0))]}]}
+    assert proto.parse_write(proto.write_body(odd)) == odd
+    for i in range(len(body)):
+        for bad in (body[:i], body[:i] + b"\xff" + body[i + 1 :]):
+            try:
+                proto.parse_write(bad)
+            except proto.Malformed:
+                pass
+
+
+def test_blocks_on_disk(spark, tmp_path):
+    root, lab = str(tmp_path / "blocks"), {METRIC_LABEL: "m", "h": "a"}
+    rows = lambda ts, v, seq: samples(spark, [(lab, t, v, seq) for t in ts])
+    a = blockstore.write_block(rows(range(0, 20, 2), 1, 1), root, bounds=(0, 20))
+    b = blockstore.write_block(rows(range(10, 30, 2), 2, 2), root, bounds=(10, 30))
+    (tmp_path / "blocks" / "half" / "chunks").mkdir(parents=True)  # a write that was lost before its metadata
+    metas = {r["block_id"]: r for r in blockstore.block_metas(spark, root).collect()}
+    assert set(metas) == {a, b} and (metas[a]["num_samples"], metas[a]["num_series"], metas[a]["num_chunks"], metas[a]["level"]) == (10, 1, 1, 1) and metas[a]["num_bytes"] > 0
+    c = blockstore.compact_next(spark, root, {}, tags_column="tags")
+    m = blockstore.block_metas(spark, root).collect()
+    assert [(r["block_id"], r["level"], r["min_t"], r["max_t"], sorted(r["sources"]), sorted(r["parents"])) for r in m] == [(c, 2, 0, 30, sorted([a, b]), sorted([a, b]))]
+    assert points(blockstore.block_samples(spark, root, [c], {}, tags_column="tags")) == [(t, 1.0 if t < 10 else 2.0) for t in range(0, 30, 2)]
+    assert blockstore.compact_next(spark, root, {}, tags_column="tags") is None and blockstore.block_metas(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_last_points_are_looked_for_backwards(spark):
+    s = samples(spark, [({METRIC_LABEL: "m", "h": h}, t, t) for h, t in (("a", 990), ("a", 100), ("b", 700), ("c", 3), ("d", 2000))])
+    s = s.with_df(s.df.withColumn("h", F.col("tags")["h"]).drop("tags"), promoted={"h": "h"}, tags_column=None)
+    w = tsbs.Workload(s, "h", ["m"], [], 1000)
+    got = {r["h"]: r["t"] for r in w.recent_points("m", index.distinct_series(s), 50).collect()}
+    assert got == {"a": 990, "b": 700, "c": 3}
+
+
 def test_last_point_rates_and_nested(spark):
     lab = {METRIC_LABEL: "m", "h": "a"}
     s = samples(spark, [(lab, 0, 1, 1), (lab, 1000, 5, 2), (lab, 3000, 9, 3), (lab, 3000, 11, 4)])
@@ -278,7 +398,7 @@ def test_devops_sources(spark, tmp_path):
     assert x.count() == 4 and x.filter("tags['region'] = 'eu=1'").count() == 2
     s = adaptors.devops_samples(spark, hosts=2, tuples=1, metrics=["cpu_0"])
     assert s.df.count() == 64 and s.df.filter("v < 0 OR v >= 200").count() == 0
-    assert len(adaptors.devops_metrics()) == 100
+    assert len(adaptors.devops_metrics()) == len(set(adaptors.devops_metrics())) == 100 and {"cpu_usage_user", "redis_used_cpu_user_children", "nginx_waiting"} <= set(adaptors.devops_metrics())
 
 
 def test_streams(spark, tmp_path):
@@ -289,9 +409,13 @@ def test_streams(spark, tmp_path):
     q = streams.ingest(streams.deduplicated(st, ["metric", "h"]), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
-    w = streams.drained(streams.window_max(st, ["metric", "h"], "1 hour"), "w_test", "complete")
+    w = streams.drained(streams.window_max(st, ["metric", "h"], "1 hour", late="0 seconds"), str(tmp_path / "w"))
+    assert sorted((r["bucket_ms"], r["max_v"]) for r in w.collect()) == [(T.DAY_MS, 5.0)]
+    late = samples(spark, [(lab, 2 * T.DAY_MS, 1)])
+    late.df.write.mode("append").parquet(str(tmp_path / "in"))
+    w = streams.drained(streams.window_max(st, ["metric", "h"], "1 hour", late="0 seconds"), str(tmp_path / "w"))  # goes on where it was
     assert sorted((r["bucket_ms"], r["max_v"]) for r in w.collect()) == [(T.DAY_MS, 5.0), (T.DAY_MS + 3_600_000, 11.0)]
-    g = streams.drained(streams.sessions(st, ["metric", "h"], "20 minutes"), "s_test", "complete")
+    g = streams.drained(streams.sessions(st, ["metric", "h"], "20 minutes"), str(tmp_path / "g"))
     assert [(r["n"], r["start_ms"]) for r in g.collect()] == [(13, T.DAY_MS)]
 
 
@@ -324,4 +448,4 @@ def test_command_line(spark, tmp_path, capsys):
     read.write_text(json.dumps({"queries": [{"start_timestamp_ms": 0, "end_timestamp_ms": 9, "matchers": [{"name": METRIC_LABEL, "op": "=", "value": "m"}]}]}))
     main(["write", "--store", str(tmp_path / "s"), "--request", str(write)])
     main(["read", "--store", str(tmp_path / "s"), "--request", str(read)])
-    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["results"][0]["timeseries"][0]["samples"] == [{"timestamp": 1, "value": 2.5}]
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"query": 0, "labels": [{"name": METRIC_LABEL, "value": "m"}], "samples": [{"timestamp": 1, "value": 2.5}]}

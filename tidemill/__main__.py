@@ -1,4 +1,7 @@
-"""``python -m tidemill write|read --store PATH < request.json``: remote write and read requests against a store, for spark-submit."""
+"""``python -m tidemill write|read --store PATH < request.json``: remote write and read requests against a store, for spark-submit.
+
+An answer is a line of JSON for each piece of a series, with the number of its query.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +26,8 @@ def main(args: list[str] | None = None) -> int:
         store.append_table(wire.write_request(spark, request), a.store)
     else:
         samples = store.read_samples(spark, a.store, {}, tags_column="tags")
-        json.dump({"results": list(wire.read_response(samples, request))}, sys.stdout)
+        for query, series in wire.read_series(samples, request):
+            print(json.dumps({"query": query, **series}))
     return 0
 
 

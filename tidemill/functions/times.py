@@ -44,12 +44,25 @@ def chunk_end(first: int, last: int, limit: int) -> int:
     return limit if chunks == 0 else first + (limit - first) // chunks
 
 
+def chunk_end_of(first: Column, last: Column, limit: Column) -> Column:
+    """``chunk_end`` of columns."""
+    chunks = div(limit - first, (last - first + 1) * 4)
+    return F.when(chunks == 0, limit).otherwise(first + div(limit - first, F.greatest(chunks, F.lit(1).cast("long")))).cast("long")
+
+
 # The bits of packed ids.
-CHUNK_BITS, METRIC_BITS, SERIES_MOST = 24, 9, (1 << 40) - 1
+CHUNK_BITS, METRIC_BITS, SERIES_BITS = 24, 9, 40
+
+
+def _within(x: Column, bits: int, what: str) -> Column:
+    """x as a BIGINT; a value that has more bits would run into its neighbour and fails the job."""
+    x = x.cast("long")
+    fits = (x >= 0) & (x < F.lit(1 << bits))
+    return F.when(fits | x.isNull(), x).otherwise(F.raise_error(F.concat(F.lit(f"{what} beyond {bits} bits: "), x.cast("string"))).cast("long"))
 
 
 def pack_chunk_id(series: Column, chunk: Column) -> Column:
-    return F.shiftleft(series.cast("long"), CHUNK_BITS).bitwiseOR(chunk.cast("long"))
+    return F.shiftleft(_within(series, SERIES_BITS, "series id"), CHUNK_BITS).bitwiseOR(_within(chunk, CHUNK_BITS, "chunk id"))
 
 
 def unpack_chunk_id(packed: Column) -> tuple[Column, Column]:
@@ -57,7 +70,7 @@ def unpack_chunk_id(packed: Column) -> tuple[Column, Column]:
 
 
 def pack_series_id(source: Column, metric: Column) -> Column:
-    return F.shiftleft(source.cast("long"), METRIC_BITS).bitwiseOR(metric.cast("long"))
+    return F.shiftleft(_within(source, 63 - METRIC_BITS, "source id"), METRIC_BITS).bitwiseOR(_within(metric, METRIC_BITS, "metric id"))
 
 
 def unpack_series_id(packed: Column) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import METRIC_LABEL, Samples
 from .matchers import Matcher
+from .ranks import ranked_by_digest, ranked_in_order
 
 
 def distinct_series(samples: Samples) -> DataFrame:
@@ -17,33 +18,33 @@ def distinct_series(samples: Samples) -> DataFrame:
     return samples.df.groupBy(*samples.series_key()).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
-def series_table(samples: Samples, dense: bool = True) -> DataFrame:
-    """Rows (series_id, source_id, metric_id, series columns): ids from 1 in the order of metrics, label sets and both.
+def source_key(samples: Samples) -> Column:
+    """A series' tags in one canonical text, by which ids are dealt."""
+    return F.to_json(F.array_sort(F.map_entries(samples.labels_map())))
 
-    Ids are ranks over distinct metrics and sources, a small table beside the samples; sources and metrics are ranked
-    apart, so a source keeps its id across its metrics. Ranks take a sort in one task: with ``dense=False`` ids of
-    series and sources are hashes of what identifies them instead, for tables with very many series.
+
+def series_table(samples: Samples) -> DataFrame:
+    """Rows (series_id, source_id, metric_id, series columns): ids from 1, without gaps.
+
+    Metrics, of which there are few, are numbered by name, sources by the digest of their tags and series by that and the
+    metric, so a source keeps its id across its metrics. Sources and series are numbered in many tasks.
     """
-    tags = samples.series_key()[1:]
-    s = distinct_series(samples)
-    order = [_orderable(samples, c) for c in tags]
-    ranked = s.withColumn("metric_id", F.dense_rank().over(Window.orderBy("metric")).cast("int")) if dense else s.withColumn("metric_id", F.pmod(F.xxhash64("metric"), F.lit(2**31)).cast("int"))
-    if not dense:
-        source = F.xxhash64(F.to_json(F.struct(*order))) if order else F.lit(1).cast("long")
-        return ranked.withColumn("source_id", source).withColumn("series_id", F.xxhash64("source_id", "metric"))
-    ranked = ranked.withColumn("source_id", F.dense_rank().over(Window.orderBy(*order)).cast("long") if order else F.lit(1).cast("long"))
-    return ranked.withColumn("series_id", F.row_number().over(Window.orderBy("source_id", "metric_id")).cast("long"))
-
-
-def _orderable(samples: Samples, c: str) -> Column:
+    s = distinct_series(samples).withColumn("_source", source_key(samples))
+    metrics = s.select("metric").distinct().withColumn("metric_id", F.row_number().over(Window.orderBy("metric")).cast("int"))
+    sources = ranked_by_digest(s.select("_source").distinct(), "source_id", F.col("_source"))
+    ranked = ranked_by_digest(s.join(sources, "_source").join(metrics, "metric"), "series_id", F.col("_source"), after=["metric"])
+    return ranked.select(*samples.series_key(), "metric_id", "source_id", "series_id")
+
+
+def _comparable(samples: Samples, c: str) -> Column:
     return F.array_sort(F.map_entries(c)) if c == samples.tags_column else F.col(c)
 
 
 def with_ids(samples: Samples, series: DataFrame) -> DataFrame:
-    """Samples with the ids of their series. Both sides are matched null-safely, as tags may be absent."""
-    keys = [k for k in samples.series_key() if k != samples.tags_column]
-    s = series.select("series_id", "source_id", "metric_id", *(F.col(k).alias(f"_{k}") for k in keys))
-    cond = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    """Samples with the ids of their series, matched by the whole label set; tags may be absent on both sides."""
+    keys = samples.series_key()
+    s = series.select("series_id", "source_id", "metric_id", *(_comparable(samples, k).alias(f"_{k}") for k in keys))
+    cond = reduce(lambda a, b: a & b, (_comparable(samples, k).eqNullSafe(F.col(f"_{k}")) for k in keys))
     return samples.df.join(s, cond).drop(*(f"_{k}" for k in keys))
 
 
@@ -81,9 +82,32 @@ def postings(samples: Samples, series: DataFrame, name: str, value: str) -> Data
     return series.filter(samples.label(name) == value).select("series_id")
 
 
+#: Ids of one label that are in one list.
+PART = 65_536
+
+
 def postings_index(samples: Samples, series: DataFrame) -> DataFrame:
-    """The whole index: rows (name, value, ids), ids ascending."""
-    return _pairs(samples, series, ["series_id"]).groupBy("name", "value").agg(F.sort_array(F.collect_list("series_id")).alias("ids"))
+    """The whole index: rows (name, value, part, ids), ids ascending; part is the range of PART ids that the list is of."""
+    pairs = _pairs(samples, series, ["series_id"]).withColumn("part", F.expr(f"series_id div {PART}"))
+    return pairs.groupBy("name", "value", "part").agg(F.sort_array(F.collect_list("series_id")).alias("ids"))
+
+
+def add_postings(postings: DataFrame, samples: Samples, series: DataFrame) -> DataFrame:
+    """The index with further series; those that are there already change nothing."""
+    both = postings.unionByName(postings_index(samples, series))
+    return both.groupBy("name", "value", "part").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+
+
+def remove_postings(postings: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without some series (column series_id); labels without series go."""
+    gone = ids.groupBy(F.expr(f"series_id div {PART}").alias("part")).agg(F.collect_set("series_id").alias("_gone"))
+    left = postings.join(gone, "part", "left").withColumn("ids", F.when(F.col("_gone").isNull(), F.col("ids")).otherwise(F.array_except("ids", "_gone")))
+    return left.filter(F.size("ids") > 0).select("name", "value", "part", "ids")
+
+
+def drop_label(postings: DataFrame, name: str, value: str) -> DataFrame:
+    """The index without the list of one label."""
+    return postings.filter((F.col("name") != name) | (F.col("value") != value))
 
 
 def postings_counts(samples: Samples, series: DataFrame) -> DataFrame:
@@ -91,10 +115,10 @@ def postings_counts(samples: Samples, series: DataFrame) -> DataFrame:
 
 
 def coldest(counts: DataFrame, share: float) -> DataFrame:
-    """The share of labels with the fewest postings, those to move to the cold index; ties by name and value."""
-    w = Window.orderBy("n", "name", "value")
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.withColumns({"_rank": F.row_number().over(w), "_all": F.count(F.lit(1)).over(total)}).filter(F.col("_rank") <= F.floor(F.col("_all") * share)).drop("_rank", "_all")
+    """The share of labels with the fewest postings, those to move to the cold index; ties in the order of their digests."""
+    ranked = ranked_by_digest(counts, "_rank", F.concat_ws("=", "name", "value"), ["n"], ["name"])
+    total = counts.groupBy().agg(F.count(F.lit(1)).alias("_all"))
+    return ranked.crossJoin(F.broadcast(total)).filter(F.col("_rank") <= F.floor(F.col("_all") * share)).drop("_rank", "_all")
 
 
 def series_for(samples: Samples, series: DataFrame, matchers: Iterable[Matcher]) -> DataFrame:
@@ -125,8 +149,7 @@ def except_ids(full: DataFrame, drop: DataFrame) -> DataFrame:
 
 def sorted_by_labels(samples: Samples, series: DataFrame) -> DataFrame:
     """Series with their rank in the order of label sets: name and value pairwise, then length."""
-    labels = F.array_sort(F.map_entries(samples.labels_map(with_metric=True)))
-    return series.withColumn("rank", F.row_number().over(Window.orderBy(labels)).cast("long"))
+    return ranked_in_order(series, "rank", F.array_sort(F.map_entries(samples.labels_map(with_metric=True))))
 
 
 def values_between(samples: Samples, name: str, lo: str, hi: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import div
+from ..functions.times import DAY_MS, div
 from ..model import PARTITION_MS, Samples
 from .matchers import Matcher, conjunction
 
@@ -32,8 +32,11 @@ def time_filter(samples: Samples, mint: int, maxt: int = MOST) -> DataFrame:
         if mint <= maxt and mint <= LAST_TIMESTAMP:
             return df
     elif samples.partition_column:
-        p = F.col(samples.partition_column)
-        df = df.filter((p >= mint // PARTITION_MS) & (p <= max(maxt, 0) // PARTITION_MS))
+        bounds = {samples.partition_column: PARTITION_MS, **({"day": DAY_MS} if "day" in df.columns else {})}  # day: the store's directories
+        for c, length in bounds.items():
+            df = df.filter(F.col(c) >= mint // length)
+            if maxt < LAST_TIMESTAMP:
+                df = df.filter(F.col(c) <= max(maxt, 0) // length)
     return df.filter((F.col("t") >= mint) & (F.col("t") <= maxt))
 
 
@@ -97,10 +100,10 @@ def as_of(samples: Samples, t: int) -> DataFrame:
     return time_filter(samples, 0, t).groupBy(*samples.series_key()).agg(F.max("t").alias("t"), F.max_by("v", "t").alias("v"))
 
 
-def nested(samples: Samples) -> DataFrame:
-    """One row for each series: labels and its samples in time order."""
+def nested(samples: Samples, slice_ms: int = DAY_MS) -> DataFrame:
+    """Rows for each series and time slice (column slice): labels and its samples in time order, so a long series is no single row."""
     points = F.array_sort(F.collect_list(F.struct("t", "v")))
-    return samples.df.groupBy(*samples.series_key()).agg(points.alias("samples")).withColumn("labels", samples.labels_map(with_metric=True))
+    return samples.df.groupBy(*samples.series_key(), div(F.col("t"), slice_ms).alias("slice")).agg(points.alias("samples")).withColumn("labels", samples.labels_map(with_metric=True))
 
 
 def unnested(series: DataFrame) -> DataFrame:

@@ -44,12 +44,6 @@ def apply_tombstones(samples: DataFrame, stones: DataFrame, by: str = "series_id
     return left.join(s.filter(F.col("_z") - F.col("_a") > LONG), own & inside, "left_anti")
 
 
-def clean_tombstones(samples: DataFrame, stones: DataFrame, path: str) -> DataFrame:
-    """Rewrites samples without the deleted ones; returns the new table."""
-    apply_tombstones(samples, stones).write.mode("overwrite").parquet(path)
-    return samples.sparkSession.read.schema(samples.schema).parquet(path)
-
-
 def write_tombstones(stones: DataFrame, path: str) -> None:
     """Replaces the stored intervals by these, coalesced."""
     coalesce_intervals(stones).write.mode("overwrite").parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import block_ranges, floor_range, overlaps
 from ..model import Samples
-from ..operators.select import merge_sources
+from ..operators.select import merge_sources, time_filter
 from ..operators.tombstones import apply_tombstones
 
 DEFAULT_RANGES = block_ranges(2 * 3_600_000)
@@ -111,11 +111,18 @@ def compact(sources: list[Samples], stones: DataFrame | None = None) -> Samples:
     return merged
 
 
-def block_stats(samples: Samples, width: int) -> DataFrame:
-    """For each time slice: bounds and numbers of samples and series."""
+def block_stats(samples: Samples, width: int, chunk: int | None = None, stones: DataFrame | None = None) -> DataFrame:
+    """For each time slice: bounds and numbers of samples, series and chunks (of length ``chunk``, else one a series), and of tombstones (min_t, max_t) that touch it."""
     block = floor_range(F.col("t"), width)
-    per_series = samples.df.groupBy(block.alias("block_id"), *samples.series_key()).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    return per_series.groupBy("block_id").agg(F.min("lo").alias("min_t"), F.max("hi").alias("max_t"), F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_series"))
+    cut = floor_range(F.col("t"), chunk) if chunk else F.lit(0)
+    each = samples.df.groupBy(block.alias("block_id"), *samples.series_key(), cut.alias("_chunk")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    per_series = each.groupBy("block_id", *samples.series_key()).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = per_series.groupBy("block_id").agg(F.min("lo").alias("min_t"), F.max("hi").alias("max_t"), F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_series"), F.sum("c").alias("num_chunks"))
+    if stones is None:
+        return out
+    touched = F.explode(F.sequence(floor_range(F.col("min_t"), width), floor_range(F.col("max_t"), width), F.lit(width).cast("long")))
+    n = stones.select(touched.alias("block_id")).groupBy("block_id").agg(F.count(F.lit(1)).alias("num_tombstones"))
+    return out.join(n, "block_id", "left").withColumn("num_tombstones", F.coalesce("num_tombstones", F.lit(0)))
 
 
 def chunk_metas(samples: Samples, width: int) -> DataFrame:
@@ -130,14 +137,14 @@ def chunks_in_range(chunks: DataFrame, mint: int, maxt: int) -> DataFrame:
 
 
 def retain(samples: Samples, mint: int) -> Samples:
-    """Retention: samples from mint on."""
-    return samples.with_df(samples.df.filter(F.col("t") >= mint))
+    """Retention: samples from mint on; the bound reaches the files."""
+    return samples.with_df(time_filter(samples, mint))
 
 
 def retain_by_age(samples: Samples, age_ms: int = DEFAULT_RETENTION_MS) -> Samples:
-    """Retention by age against the newest sample."""
-    newest = samples.df.groupBy().agg((F.max("t") - age_ms).alias("_from"))
-    return samples.with_df(samples.df.join(F.broadcast(newest)).filter("t >= _from").drop("_from"))
+    """Retention by age against the newest sample, which is looked up first, so that the bound reaches the files."""
+    newest = samples.df.agg(F.max("t")).head()[0]
+    return samples if newest is None else retain(samples, newest - age_ms)
 
 
 def retain_by_size(blocks: DataFrame, most: int, size: str = "num_bytes") -> DataFrame:
@@ -146,6 +153,12 @@ def retain_by_size(blocks: DataFrame, most: int, size: str = "num_bytes") -> Dat
     return blocks.withColumn("_sum", F.sum(size).over(newer)).filter(F.col("_sum") <= most).drop("_sum")
 
 
+def checkpoint(samples: Samples, series: DataFrame, mint: int) -> Samples:
+    """What a checkpoint at mint writes: samples from mint on, of the series to keep alone (rows of the series' columns; tags in a map aren't compared)."""
+    keys = [k for k in samples.series_key() if k != samples.tags_column]
+    return samples.with_df(retain(samples, mint).df.join(series.select(*keys).distinct(), keys, "left_semi"))
+
+
 def checkpoint_stats(samples: Samples, mint: int, stones: DataFrame | None = None) -> DataFrame:
     """What a checkpoint at mint sees and drops: samples before it, and tombstones that end before it."""
     out = samples.df.groupBy().agg(F.count(F.lit(1)).alias("total_samples"), F.count(F.when(F.col("t") < mint, 1)).alias("dropped_samples"))

@@ -11,6 +11,7 @@ from ..model import METRIC_LABEL, Samples
 from ..operators.aggregate import bucketed, last_point, threshold
 from ..operators.matchers import Eq, In, Matcher
 from ..operators.select import select
+from ..sources.shared import written
 
 FIVE_MINUTES_MS = 300_000
 
@@ -69,6 +70,22 @@ class Workload:
         """The last reading of a metric of each host."""
         return last_point(select(self.samples, [Eq(METRIC_LABEL, metric)], since, dedupe=False))
 
+    def recent_points(self, metric: str, series: DataFrame, step: int) -> DataFrame:
+        """The same, read backwards: the last ``step`` before the end first, then as much as all before again, until each of
+        the series (rows of the metric's series columns) has a point or the beginning is reached. So old days are read
+        only for hosts that were silent since."""
+        hi, lo, out = self.end, max(0, self.end - step), None
+        keys = self.samples.series_key()
+        left = series.select(*keys)
+        while True:
+            part = select(self.samples, [Eq(METRIC_LABEL, metric)], lo, hi, dedupe=False)
+            found = written(last_point(part.with_df(part.df.join(left, keys, "left_semi"))))
+            out = found if out is None else out.unionByName(found)
+            left = written(left.join(found, keys, "left_anti"))
+            if lo == 0 or left.isEmpty():
+                return out
+            hi, lo = lo - 1, max(0, lo - 2 * (self.end - lo))
+
     def high(self, metric: str, above: float, hosts: int | None = None) -> DataFrame:
         own = [Eq(METRIC_LABEL, metric)] + ([In(self.host, tuple(self.hosts[:hosts]))] if hosts else [])
         return threshold(select(self.samples, own, 0, self.end), above)

@@ -48,13 +48,23 @@ def orders(spark: SparkSession, sf_dir: str) -> Samples:
     return Samples(x, {"status": "status", "priority": "priority", "custkey": "custkey"}, frozenset({"custkey"}), time_column="ts")
 
 
-# The measurement groups of the devops workload and how many metrics each has.
-DEVOPS_GROUPS = {"cpu": 10, "diskio": 7, "disk": 7, "kernel": 6, "mem": 9, "net": 8, "nginx": 6, "postgres": 16, "redis": 31}
+# The measurement groups of the devops workload and their metrics.
+DEVOPS_GROUPS = {
+    "cpu": "usage_user usage_system usage_idle usage_nice usage_iowait usage_irq usage_softirq usage_steal usage_guest usage_guest_nice",
+    "diskio": "reads writes read_bytes write_bytes read_time write_time io_time",
+    "disk": "total free used used_percent inodes_total inodes_free inodes_used",
+    "kernel": "boot_time interrupts context_switches processes_forked disk_pages_in disk_pages_out",
+    "mem": "total available used free cached buffered used_percent available_percent buffered_percent",
+    "net": "bytes_sent bytes_recv packets_sent packets_recv err_in err_out drop_in drop_out",
+    "nginx": "accepts active handled reading requests waiting",
+    "postgres": "numbackends xact_commit xact_rollback blks_read blks_hit tup_returned tup_fetched tup_inserted tup_updated tup_deleted conflicts temp_files temp_bytes deadlocks blk_read_time blk_write_time",
+    "redis": "uptime_in_seconds total_connections_received expired_keys evicted_keys keyspace_hits keyspace_misses instantaneous_ops_per_sec instantaneous_input_kbps instantaneous_output_kbps connected_clients used_memory used_memory_rss used_memory_peak used_memory_lua rdb_changes_since_last_save sync_full sync_partial_ok sync_partial_err pubsub_channels pubsub_patterns latest_fork_usec connected_slaves master_repl_offset repl_backlog_active repl_backlog_size repl_backlog_histlen mem_fragmentation_ratio used_cpu_sys used_cpu_user used_cpu_sys_children used_cpu_user_children",
+}
 
 
 def devops_metrics() -> list[str]:
-    """Placeholder names of the workload's metrics: the group's name and a number."""
-    return [f"{g}_{i}" for g, n in DEVOPS_GROUPS.items() for i in range(n)]
+    """The workload's metrics: the group's name and the measure's."""
+    return [f"{group}_{name}" for group, names in DEVOPS_GROUPS.items() for name in names.split()]
 
 
 def devops_series(spark: SparkSession, path: str, metrics: list[str] | None = None) -> DataFrame:
@@ -78,9 +88,12 @@ def devops_samples(spark: SparkSession, hosts: int, tuples: int, interval_s: int
 
 
 def from_maps(df: DataFrame, unique: bool = False) -> Samples:
-    """Rows (labels or metric and tags, t, v[, seq]) as samples with their tags in a map; the metric may be among the labels."""
+    """Rows (labels or metric and tags, t, v[, seq]) as samples with their tags in a map; the metric may be among the labels.
+
+    Without a seq the order of rows is that of ingest.
+    """
     if "labels" in df.columns:
         df = df.withColumns({"metric": F.coalesce(F.col("labels")["__name__"], F.lit("")), "tags": F.map_filter("labels", lambda k, _: k != "__name__")}).drop("labels")
     if "seq" not in df.columns:
-        df = df.withColumn("seq", F.lit(0).cast("long"))
+        df = df.withColumn("seq", F.monotonically_increasing_id())
     return Samples(df.select("metric", "tags", "t", "v", "seq"), tags_column="tags", unique=unique)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,22 +51,32 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def erase(spark: SparkSession, path: str) -> None:
+    """Removes a scratch directory that nothing reads any more."""
+    p, files = file_at(spark, path)
+    files.delete(p, True)
+    _scratch.remove(path)
+
+
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """Of the scratch directories made inside, all but the last go at the end."""
     before = len(_scratch)
     yield
     for path in _scratch[before:-1]:
-        p, files = file_at(spark, path)
-        files.delete(p, True)
-    del _scratch[before:-1]
+        erase(spark, path)
+
+
+def written_at(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, which outlives executors and cuts lineage, and its scratch directory."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", codec).parquet(f"{path}/t")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t"), path
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """``df`` as a table in the shared folder, which outlives executors and cuts lineage; it goes when the session ends."""
-    path = f"{scratch(df.sparkSession)}/t"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as such a table, which goes when the session ends."""
+    return written_at(df, codec)[0]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -73,3 +85,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemill_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="tidemill-")).resolve() / "tidemill.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(to))
+    sc._tidemill_sent = True

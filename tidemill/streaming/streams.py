@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import DAY_MS, div
 from ..model import PARTITION_MS, Samples
-from ..operators.select import concat, merge_newest
+from ..operators.select import concat, merge_newest, time_filter
 
 LATE = "2 hours"
 
@@ -51,13 +51,13 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     return x.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """All there is now, through the stream, as a table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(df: DataFrame, path: str) -> DataFrame:
+    """What the stream has settled by now, through Parquet files under ``path``: rows are appended once the watermark is past them, so no state stays behind."""
+    q = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 def hot_and_cold(cold: Samples, hot: Samples, boundary: int) -> Samples:
-    """Stored samples before the boundary and streamed ones from it on, the newest kept where tiers overlap."""
-    return merge_newest(concat(cold.with_df(cold.df.filter(F.col("t") < boundary)), hot.with_df(hot.df.filter(F.col("t") >= boundary))))
+    """Stored samples before the boundary and streamed ones from it on, the newest kept where tiers overlap; both bounds reach the files."""
+    return merge_newest(concat(cold.with_df(time_filter(cold, 0, boundary - 1)), hot.with_df(time_filter(hot, boundary))))
