@@ -204,15 +204,16 @@ def test_stage_in_blocks_loses_no_link(spark, monkeypatch, nodes, shingles_held)
 
 def test_blocks_of_keys():
     made = nearsets._Blocks()
-    made.add(1, np.arange(3), np.array([1, 1, 1]))
-    made.add(2, np.arange(1), np.array([9]))
-    made.add(3, np.arange(10_000), np.full(10_000, 3_000))
-    made.add(3, np.arange(5), np.full(5, 5_000_000))
+    ids = lambda n, size: np.arange(n) * 64 + size
+    made.add(1, ids(3, 1))
+    made.add(2, ids(1, 9))
+    made.add(3, ids(10_000, 12))
+    made.add(3, ids(5, 23))
     made.end()
     rows = made.rows
     assert rows[0][:3] == (1, 0, False) and {x[0] for x in rows} == {1, 3} and [x[1] for x in rows[1:]] == list(range(len(rows) - 1)) and all(x[2] for x in rows[1:])
     held = [np.frombuffer(x[3], np.int64) for x in rows[1:]]
-    assert np.concatenate(held).tolist() == [*range(10_000), *range(5)] and max(map(len, held)) <= 4_000_000 // 3_000 and [len(x) for x in held[-5:]] == [1] * 5
+    assert np.concatenate(held).tolist() == [*ids(10_000, 12), *ids(5, 23)] and max(map(len, held)) <= 4_000_000 // 4_096 and [len(x) for x in held[-5:]] == [1] * 5
 
 
 def test_columns_keep_their_values(spark):

@@ -12,13 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import CHUNK, bit_counts, majority, shingle_hashes
 from .simhash import covering_links
-from .stars import components, forest
-from .work import mapped, sized_join, skew_join, width, written
+from .stars import components
+from .work import erase, mapped, sized_join, skew_join, width, written, written_at
 
 WORDS, MAP_BITS = 5, 2048
 #: A block of a group holds this many nodes and shingles at most, or one node.
@@ -109,6 +109,17 @@ def _split(rows: DataFrame, packed: str, name: str, own: list[str]) -> DataFrame
     return mapped(rows.select(packed, *own), run, ", ".join(f"{c} long" for c in (name, *own)))
 
 
+def node_id() -> Column:
+    """A hash of the node, whose last six bits tell the power of two above its size."""
+    size = F.ceil(F.log2(F.col("n") + 1)).cast("long")
+    return F.xxhash64("node").bitwiseAND(F.lit(-64)).bitwiseOR(size)
+
+
+def _most(ids: np.ndarray) -> np.ndarray:
+    """How many shingles the nodes of some ids have at most."""
+    return np.left_shift(np.int64(1), ids & 63)
+
+
 class _Blocks:
     """Cuts the ids of keys, which come in order, into blocks; ids alone with their key are left out."""
 
@@ -126,7 +137,8 @@ class _Blocks:
             self.at += 1
         self._open()
 
-    def add(self, key: int, ids: np.ndarray, n: np.ndarray) -> None:
+    def add(self, key: int, ids: np.ndarray) -> None:
+        n = _most(ids)
         if key != self.key:
             self.end()
             self.key = key
@@ -153,7 +165,7 @@ class _Blocks:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """Rows (g, blk, cut, ids): ids that share a key (columns h, id, n), packed and in order, in blocks; cut where a key has several.
+    """Rows (g, blk, cut, ids): ids that share a key (columns h, id), packed and in order, in blocks; cut where a key has several.
 
     A set of one block is there once, however many keys its ids share.
     """
@@ -163,18 +175,18 @@ def groups(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            h, ids, n = (b.column(c).to_numpy() for c in ("h", "id", "n"))
+            h, ids = (b.column(c).to_numpy() for c in ("h", "id"))
             starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
             ends = np.append(starts[1:], len(h))
             some = ends - starts > 1
             some[[0, -1]] = True  # the rest may be in the batches beside this one
             for s, e in zip(starts[some].tolist(), ends[some].tolist()):
-                made.add(int(h[s]), ids[s:e], n[s:e])
+                made.add(int(h[s]), ids[s:e])
             yield made.out()
         made.end()
         yield made.out()
 
-    dealt = rows.select("h", "id", "n").repartition(width(rows.sparkSession), "h").sortWithinPartitions("h", "id")
+    dealt = rows.select("h", "id").repartition(width(rows.sparkSession), "h").sortWithinPartitions("h", "id")
     found = mapped(dealt, run, "g long, blk long, cut boolean, ids binary")
     return found.withColumn("g", F.when(F.col("cut"), F.xxhash64(F.lit(1), "g")).otherwise(F.xxhash64("ids"))).distinct()
 
@@ -281,7 +293,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, possible: DataFrame) -> DataFra
 def _simhash_units(nodes: DataFrame) -> DataFrame:
     """Rows (u, id) of SimHash components, in blocks picked by hash."""
     prints = written(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")))
-    roots = components(forest(covering_links(prints)))
+    roots = components(covering_links(prints))
     of = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "c", "s", F.coalesce("root", "fp").alias("root"))
     total = of.groupBy("root").agg(F.sum("c").alias("all"), F.sum("s").alias("weight")).filter("all > 1")
     blocks = F.greatest(F.ceil(F.col("all") / BLOCK_NODES), F.ceil(F.col("weight") / BLOCK_SHINGLES))
@@ -327,7 +339,7 @@ def _bounded(star: DataFrame, at: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) that span the components of nodes: pairs whose sets have a Jaccard similarity of 0.8 or more, and no others."""
     at = nodes.filter("n > 0").select("id", "node", "n", "bits", "keys", "fp")
-    found = written(groups(_split(at, "keys", "h", ["id", "n"])))
+    found = written(groups(_split(at, "keys", "h", ["id"])))
     ids = _split(found, "ids", "id", ["g", "blk"])
     light = at.drop("keys", "fp").withColumn("root", F.col("id"))
     units = _simhash_units(at).unionByName(_first_units(found, ids)).distinct()
@@ -335,7 +347,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     some = written(star.select(F.xxhash64("u", "a").alias("u"), F.col("b").alias("node")).join(light.select("node", "root"), "node"))
     links = _verified(docs, nodes, some)
     # what these left apart
-    roots = components(forest(links))
+    roots = components(links)
     now = written(light.drop("root").join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node"))))
     units = _open_units(found, ids, now)
     star = _by_unit(units.join(now, "id"), ["node", "n", "bits", "root"], _possible)
@@ -351,10 +363,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     last, id_, row = F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64(F.lit(5), "text")
-    made = written(sketches(docs))
-    nodes = made.groupBy("node").agg(F.min(F.struct(last, "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "fp", "bits", "keys")))
-    nodes = written(nodes.withColumn("id", F.xxhash64("node")))
-    roots = components(forest(near_links(docs, nodes)))
+    full, path = written_at(sketches(docs))
+    made = written(full.select("doc_id", "row", "node"))
+    nodes = full.groupBy("node").agg(F.min(F.struct(last, "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "fp", "bits", "keys")))
+    nodes = written(nodes.withColumn("id", node_id()))
+    erase(spark, path)
+    roots = components(near_links(docs, nodes))
     named = nodes.select("node", "least", "c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min("least").alias("k"), F.count(F.lit(1)).alias("m"))
     of = written(skew_join(named.select("root", "node", "c"), kept, ["root"], "m", nodes.count()).select("node", "c", "k"))

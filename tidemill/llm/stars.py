@@ -87,9 +87,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Rows (node, root) of all nodes of ``edges`` (columns a, b of one type); root is the least node of the component.
 
     Edges that are counted to be no more than EDGES_AT_ONCE are merged by one task, which holds no more nodes than twice
-    that; more go through rounds of stars, each cut off by a checkpoint, in which minima are taken before the shuffle and
-    the rows of a node with many neighbours are joined in several tasks. Edges of a node with itself, and null ends, are
-    left out.
+    that; more are merged task by task and go through rounds of stars, each cut off by a checkpoint, in which minima are
+    taken before the shuffle and the rows of a node with many neighbours are joined in several tasks. Edges of a node with
+    itself, and null ends, are left out.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = written(e)
@@ -99,6 +99,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if n <= EDGES_AT_ONCE:
         e = written(forest(e.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1), 2 * EDGES_AT_ONCE).select(F.col("b").alias("u"), F.col("a").alias("v")))
         return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+    e = written(forest(e.select(F.col("u").alias("a"), F.col("v").alias("b")))).select(F.col("b").alias("u"), F.col("a").alias("v"))
     e, mark = checkpointed(e.distinct()), None
     for _ in range(most_rounds):
         e = _large(e, n)

@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.shared import checkpointed, kept, scratch, swept, written
+from ..sources.shared import checkpointed, erase, kept, scratch, ship, swept, written, written_at
 
 
-__all__ = ["ascii_lower", "checkpointed", "kept", "mapped", "salted_join", "scratch", "sized_join", "skew_join", "swept", "table", "width", "written"]
+__all__ = ["ascii_lower", "checkpointed", "erase", "kept", "mapped", "salted_join", "scratch", "sized_join", "skew_join", "swept", "table", "width", "written", "written_at"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,20 +25,6 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidemill_sent", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="tidemill-")).resolve() / "tidemill.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(to))
-    sc._tidemill_sent = True
-
-
 def give_back() -> None:
     """Returns free memory of Arrow's pool and of the C library to the system."""
     pa.default_memory_pool().release_unused()
