@@ -20,7 +20,7 @@ from .simhash import covering_links
 from .stars import components
 from .work import erase, mapped, sized_join, skew_join, width, written, written_at
 
-WORDS, MAP_BITS = 5, 2048
+WORDS, MAP_BITS = 5, 1024
 #: A block of a group holds this many nodes and shingles at most, or one node.
 BLOCK_NODES, BLOCK_SHINGLES = 4096, 4_000_000
 SAMPLED, COMMON = 4_000, 200_000
@@ -109,19 +109,34 @@ def _split(rows: DataFrame, packed: str, name: str, own: list[str]) -> DataFrame
     return mapped(rows.select(packed, *own), run, ", ".join(f"{c} long" for c in (name, *own)))
 
 
+#: The last bits of an id tell the node's size, as a power of STEP; sets of 0.8 differ by NEAR_SIZES such steps at most.
+SIZE_BITS, STEP, NEAR_SIZES = 12, 1.01, 24
+
+
 def node_id() -> Column:
-    """A hash of the node, whose last six bits tell the power of two above its size."""
-    size = F.ceil(F.log2(F.col("n") + 1)).cast("long")
-    return F.xxhash64("node").bitwiseAND(F.lit(-64)).bitwiseOR(size)
+    """A hash of the node, whose last bits tell its size."""
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(STEP)))
+    return F.xxhash64("node").bitwiseAND(F.lit(-(1 << SIZE_BITS))).bitwiseOR(F.coalesce(size, F.lit(0)).cast("long"))
 
 
 def _most(ids: np.ndarray) -> np.ndarray:
     """How many shingles the nodes of some ids have at most."""
-    return np.left_shift(np.int64(1), ids & 63)
+    return np.ceil(STEP ** ((ids & ((1 << SIZE_BITS) - 1)) + 1)).astype(np.int64)
+
+
+def of_near_sizes(ids: np.ndarray) -> np.ndarray:
+    """The ids whose size is near that of another of them, in their order."""
+    size = ids & ((1 << SIZE_BITS) - 1)
+    order = np.argsort(size, kind="stable")
+    close = np.diff(size[order]) <= NEAR_SIZES
+    keep = np.zeros(len(ids), bool)
+    keep[order[1:]] |= close
+    keep[order[:-1]] |= close
+    return ids[keep]
 
 
 class _Blocks:
-    """Cuts the ids of keys, which come in order, into blocks; ids alone with their key are left out."""
+    """Cuts the ids of keys, which come in order, into blocks; ids alone with their key, or with ids of other sizes, are left out."""
 
     def __init__(self):
         self.key, self.rows = None, []
@@ -133,7 +148,10 @@ class _Blocks:
 
     def _close(self, more: bool) -> None:
         if self.count > 1 or self.at or more:
-            self.rows.append((self.key, self.at, more or self.at > 0, np.concatenate(self.ids).tobytes()))
+            cut, ids = more or self.at > 0, np.concatenate(self.ids)
+            ids = ids if cut else of_near_sizes(ids)
+            if len(ids):
+                self.rows.append((self.key, self.at, cut, ids.tobytes()))
             self.at += 1
         self._open()
 
