@@ -212,6 +212,24 @@ def test_blocks_of_keys():
         assert len(nearsets.of_near_sizes(np.array([at(n), 4096 + at(m)]))) == 2
 
 
+def test_maps_tell_large_sets_apart():
+    """Sets of 0.8 always pass, also where their maps have two lengths; large ones far below that don't reach the texts."""
+    r = np.random.default_rng(4)
+
+    def links(a, b):
+        sets = [np.unique(x) for x in (a, b)]
+        return list(nearsets._possible([b"a", b"b"], list(map(len, sets)), [nearsets.parity_map(x) for x in sets], [1, 2]))
+
+    for n in (1, 2, 5, 63, 64, 65, 70, 127, 129, 140, 1000, 1025, 1100, 2049, 5000, 70_000):
+        x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        more = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert links(x, x) and links(x, x[: -(-4 * n // 5)]) and links(x, np.concatenate([x, more[: n // 4]])), n
+        assert links(np.concatenate([x, more[: n // 9]]), np.concatenate([x, more[n - n // 9 :]])), n
+        if n >= 1000:
+            assert not links(np.concatenate([x[: n * 3 // 4], more[: n // 4]]), x), n  # 0.6
+            assert not links(x, more), n
+
+
 def test_columns_keep_their_values(spark):
     from fixtures import CLASH
     from pyspark.sql import functions as F

@@ -20,7 +20,7 @@ from .simhash import covering_links
 from .stars import components
 from .work import erase, mapped, sized_join, skew_join, width, written, written_at
 
-WORDS, MAP_BITS = 5, 1024
+WORDS, LEAST_MAP = 5, 64
 #: A block of a group holds this many nodes and shingles at most, or one node.
 BLOCK_NODES, BLOCK_SHINGLES = 4096, 4_000_000
 SAMPLED, COMMON = 4_000, 200_000
@@ -35,8 +35,12 @@ def shingle_set(text: bytes) -> np.ndarray:
 
 
 def parity_map(h: np.ndarray) -> bytes:
-    """For each of MAP_BITS bins whether it holds an odd number of hashes: two maps differ in no more bits than two sets in elements."""
-    return np.packbits((np.bincount((h % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).astype(bool), bitorder="little").tobytes()
+    """For each of as many bins as there are hashes, rounded up to a power of two of LEAST_MAP at least, whether it holds an odd number of them.
+
+    Two maps of one length differ in no more bits than two sets in elements.
+    """
+    bins = max(LEAST_MAP, 1 << (len(h) - 1).bit_length()) if len(h) else LEAST_MAP
+    return np.packbits((np.bincount((h % np.uint64(bins)).astype(np.int64), minlength=bins) & 1).astype(bool), bitorder="little").tobytes()
 
 
 def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -209,8 +213,8 @@ def groups(rows: DataFrame) -> DataFrame:
     return found.withColumn("g", F.when(F.col("cut"), F.xxhash64(F.lit(1), "g")).otherwise(F.xxhash64("ids"))).distinct()
 
 
-def _by_unit(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """Rows (u, a, b) that ``found`` makes of the columns of all rows of a unit u, as lists."""
+def _by_unit(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[tuple]], made: dict[str, Callable] | None = None) -> DataFrame:
+    """Rows (u, a, b) that ``found`` makes of the columns of all rows of a unit u, as lists; of columns in ``made``, of what it makes of each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, [[] for _ in columns]
@@ -231,36 +235,63 @@ def _by_unit(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[
                     yield from links()
                     key, held = int(u[s]), [[] for _ in columns]
                 for x, c in zip(held, columns):
-                    x += b.column(c)[s:e].to_pylist()
+                    f, part = (made or {}).get(c), b.column(c)[s:e]
+                    x += [f(y.as_py()) for y in part] if f else part.to_pylist()
         yield from links()
 
     dealt = rows.select("u", *columns).repartition(width(rows.sparkSession), "u").sortWithinPartitions("u", "node")
     return mapped(dealt, run, "u long, a binary, b binary")
 
 
-def _can_be_near(n: np.ndarray, bits: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+class _Maps:
+    """Parity maps of several sets. Those of 0.8 have maps of one length, or of that and half of it, to which the longer one folds."""
+
+    def __init__(self, maps: list[bytes]):
+        self.size = np.array([len(x) for x in maps], np.int64)
+        self.rows, self.maps = np.zeros((2, len(maps)), np.int64), {}  # each set's rows among the maps of its own length and of half of it
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            own = np.frombuffer(b"".join([maps[i] for i in at]), np.uint64).reshape(len(at), -1)
+            self._add(0, size, at, own)
+            if size > LEAST_MAP // 8:
+                self._add(1, size // 2, at, own[:, : size // 16] ^ own[:, size // 16 :])
+
+    def _add(self, kind: int, size: int, at: np.ndarray, own: np.ndarray) -> None:
+        before = self.maps.get(size)
+        self.rows[kind, at] = np.arange(len(at)) + (0 if before is None else len(before))
+        self.maps[size] = own if before is None else np.concatenate([before, own])
+
+    def differ(self, one: int, others: np.ndarray) -> np.ndarray:
+        """In how many bits the map of one set differs from those of others, all of its length, twice or half of it."""
+        out = np.zeros(len(others), np.int64)
+        for size in (self.size[one] // 2, self.size[one]):
+            some = np.minimum(self.size[others], self.size[one]) == size
+            if some.any():
+                maps, at = self.maps[int(size)], others[some]
+                rows = np.where(self.size[at] == size, self.rows[0, at], self.rows[1, at])
+                own = self.rows[0 if size == self.size[one] else 1, one]
+                out[some] = np.bitwise_count(maps[rows] ^ maps[own]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _can_be_near(n: np.ndarray, maps: _Maps, one: int, others: np.ndarray) -> np.ndarray:
     """False where sizes or parity maps rule out 0.8: sets that share that differ in a ninth of their sizes' sum at most."""
     both = n[others] + n[one]
     near = 9 * np.abs(n[others] - n[one]) <= both
-    at = others[near]
-    near[near] = 9 * np.bitwise_count(bits[at] ^ bits[one]).sum(axis=1, dtype=np.int64) <= both[near]
+    near[near] = 9 * maps.differ(one, others[near]) <= both[near]
     return near
 
 
-def _maps(bits: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
-
-
 def _possible(node: list[bytes], n: list[int], bits: list[bytes], root: list[int]) -> Links:
     """Rows (least node, node) of the components of a unit by pairs of different roots that can be near; those alone are left out."""
-    n, bits, root, todo = np.array(n), _maps(bits), np.array(root), np.arange(len(node))
+    n, maps, root, todo = np.array(n), _Maps(bits), np.array(root), np.arange(len(node))
     while len(todo) > 1:
         first, todo = int(todo[0]), todo[1:]
         front, alone = [first], True
         while front and len(todo):
             x = front.pop()
             other = np.flatnonzero(root[todo] != root[x])
-            near = other[_can_be_near(n, bits, x, todo[other])]
+            near = other[_can_be_near(n, maps, x, todo[other])]
             for y in todo[near].tolist():
                 yield node[first], node[y]
                 front.append(y)
@@ -275,37 +306,33 @@ def _shared(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def _spanning(node: list[bytes], own: list[bytes], root: list[int]) -> Links:
+def _spanning(node: list[bytes], sets: list[np.ndarray], root: list[int]) -> Links:
     """Verified links that span the components of a unit, in which rows of one root are joined from the start."""
-    sets = [np.frombuffer(x, np.uint64) for x in own]
-    n, bits, root = np.array(list(map(len, sets))), _maps([parity_map(x) for x in sets]), np.array(root)
+    n, maps, root = np.array(list(map(len, sets))), _Maps([parity_map(x) for x in sets]), np.array(root)
     for x in range(len(node) - 1):
         others = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
         if len(others):
-            others = others[_can_be_near(n, bits, x, others)]
+            others = others[_can_be_near(n, maps, x, others)]
         for y in others.tolist():
             if root[y] != root[x] and _shared(sets[x], sets[y]):
                 yield node[x], node[y]
                 root[root == root[y]] = root[x]
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (node, own): the sets of shingles of the nodes wanted, from a text of each."""
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (node, t): a text of each of the nodes wanted, dealt by node."""
     first = written(nodes.join(wanted, "node", "left_semi").select(F.coalesce("least.doc_id", F.lit(NO_ID)).alias("_doc"), F.col("least.row").alias("_row"), "node"))
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.xxhash64(F.lit(5), "text").alias("_row"), F.col("text").cast("binary").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(x.as_py() or b"").tobytes() for x in b.column("t")], pa.binary())], names=["node", "own"])
-
-    found = sized_join(texts, first, ["_doc", "_row"], F.monotonically_increasing_id())
-    return mapped(found.select("node", "t").dropDuplicates(["node"]), run, "node binary, own binary")
+    return sized_join(texts, first, ["_doc", "_row"], F.monotonically_increasing_id()).select("node", "t").dropDuplicates(["node"])
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, possible: DataFrame) -> DataFrame:
-    """Links (a, b) among rows (u, node, root): pairs of a unit that have 0.8, as many as span its components."""
-    sets = _sets(docs, nodes, possible.select("node").distinct())
-    return written(_by_unit(possible.join(sets, "node"), ["node", "own", "root"], _spanning).select("a", "b"))
+    """Links (a, b) among rows (u, node, root): pairs of a unit that have 0.8, as many as span its components.
+
+    Texts are shuffled, which compress, and the sets are made of them where they meet.
+    """
+    texts = _texts(docs, nodes, possible.select("node").distinct())
+    return written(_by_unit(possible.join(texts, "node"), ["node", "t", "root"], _spanning, {"t": shingle_set}).select("a", "b"))
 
 
 def _simhash_units(nodes: DataFrame) -> DataFrame:
@@ -344,7 +371,7 @@ def _open_units(found: DataFrame, ids: DataFrame, at: DataFrame) -> DataFrame:
 
 
 def _bounded(star: DataFrame, at: DataFrame) -> DataFrame:
-    """Rows (u, node, root) of stars (u, a, b): those of one least node a are one unit, so that sets come together once, where they all fit into two blocks."""
+    """Rows (u, node, root) of stars (u, a, b): those of one least node a are one unit, so that texts come together once, where they all fit into two blocks."""
     x = star.select("u", F.xxhash64("a").alias("a"), F.col("b").alias("node")).join(at.select("node", "n", "root"), "node")
     x = written(x)
     own = x.dropDuplicates(["a", "node"])
