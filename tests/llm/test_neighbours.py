@@ -1,14 +1,17 @@
 """SimHash, decontamination and components against brute force."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 from fixtures import ROWS, docs
+from pyspark.sql import functions as F
 
 from tidemill.llm import decontam, mixing, nearsets, quality, simhash, stars
+from tidemill.sources import shared
 
 
 def groups(n, pairs):
@@ -230,6 +233,24 @@ def test_maps_tell_large_sets_apart():
             assert not links(x, more), n
 
 
+def test_shuffles_of_the_stage_go_as_actions_end(spark):
+    files = lambda: {x for x in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") if "/shuffle_" in x}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    try:
+        with pytest.raises(ZeroDivisionError), shared.shuffles_freed(spark):
+            assert shared.written(spark.range(1000).repartition(3, "id")).count() == 1000
+            assert shared.checkpointed(spark.range(1000).groupBy(F.col("id") % 7).count()).count() == 7
+            for _ in range(100):
+                if not files() - before:
+                    break
+                time.sleep(0.1)
+            assert not files() - before
+            raise ZeroDivisionError
+    finally:
+        assert spark.conf.get(key) == was
+
+
 def test_columns_keep_their_values(spark):
     from fixtures import CLASH
     from pyspark.sql import functions as F

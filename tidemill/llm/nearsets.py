@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shingles import CHUNK, bit_counts, majority, shingle_hashes
 from .simhash import covering_links
 from .stars import components
-from .work import erase, mapped, sized_join, skew_join, width, written, written_at
+from .work import erase, mapped, shuffles_freed, sized_join, skew_join, width, written, written_at
 
 WORDS, LEAST_MAP = 5, 64
 #: A block of a group holds this many nodes and shingles at most, or one node.
@@ -408,18 +408,19 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     last, id_, row = F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64(F.lit(5), "text")
-    full, path = written_at(sketches(docs))
-    made = written(full.select("doc_id", "row", "node"))
-    nodes = full.groupBy("node").agg(F.min(F.struct(last, "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "fp", "bits", "keys")))
-    nodes = written(nodes.withColumn("id", node_id()))
-    erase(spark, path)
-    roots = components(near_links(docs, nodes))
-    named = nodes.select("node", "least", "c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = named.groupBy("root").agg(F.min("least").alias("k"), F.count(F.lit(1)).alias("m"))
-    of = written(skew_join(named.select("root", "node", "c"), kept, ["root"], "m", nodes.count()).select("node", "c", "k"))
-    rows = skew_join(made.select("node", id_.alias("_id"), F.col("row").alias("_row")), of, ["node"], "c", made.count())
-    rows = rows.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("times"), F.first(F.coalesce("k.doc_id", F.lit(NO_ID))).alias("kid"), F.first("k.row").alias("krow"))
-    rows = written(rows.select("_id", "_row", ((F.col("_id") == F.col("kid")) & (F.col("_row") == F.col("krow"))).alias("stays"), "times").filter("NOT stays OR times > 1"))
+    with shuffles_freed(spark):
+        full, path = written_at(sketches(docs))
+        made = written(full.select("doc_id", "row", "node"))
+        nodes = full.groupBy("node").agg(F.min(F.struct(last, "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "fp", "bits", "keys")))
+        nodes = written(nodes.withColumn("id", node_id()))
+        erase(spark, path)
+        roots = components(near_links(docs, nodes))
+        named = nodes.select("node", "least", "c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        kept = named.groupBy("root").agg(F.min("least").alias("k"), F.count(F.lit(1)).alias("m"))
+        of = written(skew_join(named.select("root", "node", "c"), kept, ["root"], "m", nodes.count()).select("node", "c", "k"))
+        rows = skew_join(made.select("node", id_.alias("_id"), F.col("row").alias("_row")), of, ["node"], "c", made.count())
+        rows = rows.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("times"), F.first(F.coalesce("k.doc_id", F.lit(NO_ID))).alias("kid"), F.first("k.row").alias("krow"))
+        rows = written(rows.select("_id", "_row", ((F.col("_id") == F.col("kid")) & (F.col("_row") == F.col("krow"))).alias("stays"), "times").filter("NOT stays OR times > 1"))
     x = docs.select(F.struct("*").alias("_own"), id_.alias("_id"), row.alias("_row"))
     alone = sized_join(x, rows.select("_id", "_row"), ["_id", "_row"], F.monotonically_increasing_id(), "left_anti")
     again = rows.filter("stays").select("_id", "_row")

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.shared import checkpointed, erase, kept, scratch, ship, swept, written, written_at
+from ..sources.shared import checkpointed, erase, kept, scratch, ship, shuffles_freed, swept, written, written_at
 
 
-__all__ = ["ascii_lower", "checkpointed", "erase", "kept", "mapped", "salted_join", "scratch", "sized_join", "skew_join", "swept", "table", "width", "written", "written_at"]
+__all__ = ["ascii_lower", "checkpointed", "erase", "kept", "mapped", "salted_join", "scratch", "shuffles_freed", "sized_join", "skew_join", "swept", "table", "width", "written", "written_at"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

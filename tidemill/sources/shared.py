@@ -67,6 +67,18 @@ def swept(spark: SparkSession) -> Iterator[None]:
         erase(spark, path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, an action's shuffle files go as it ends, and not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written_at(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, which outlives executors and cuts lineage, and its scratch directory."""
     path = scratch(df.sparkSession)
